@@ -5,13 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import seqflow
+
 #: A run of characters that are neither a space nor \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+# functions travel to the executors with their code, so the library need not be installed there
+cloudpickle.register_pickle_by_value(seqflow)
+
 _own: dict[str, str] = {}
 
 

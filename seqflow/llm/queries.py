@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqflow.llm import chat, mixing, sharding
+from seqflow.llm import chat, decontamination, fingerprints, mixing, sharding, simhash
 from seqflow.llm.common import table
 
 
@@ -13,10 +13,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_h")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))]))
@@ -33,11 +45,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op6_mixing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op5_fingerprints, op6_mixing, op8_simhash, op9_decontamination, op10_chat)}
 
 _ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '(<(/?s>)|\[(/?INST\]|SEP\]))', '..', 'g')"
 
 ORACLE_SQL = {
+    "op9_decontamination": r"""
+with d as (select distinct doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+i as (select distinct item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
+ds as (select distinct doc_id, text, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) as s from d),
+its as (select distinct item_id, text, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) as s from i),
+n as (select item_id, text, count(*) as of from its group by all)
+select doc_id, its.item_id, cast(any_value(n.of) as integer) as n_item_shingles, cast(count(*) as integer) as n_shared,
+       count(*) / any_value(n.of) as containment
+from ds join its using (s) join n on n.item_id = its.item_id and n.text = its.text
+group by doc_id, ds.text, its.item_id, its.text having count(*) >= 0.8 * any_value(n.of)""",
     "op10_chat": r"""
 with rows_ as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

@@ -21,7 +21,7 @@ MAX_RANGES, SAMPLES_PER_RANGE = 8192, 16
 SCHEMA = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
 
 
-def splitters(keys: DataFrame, n_ranges: int, total: int) -> list[int]:
+def splitters(keys: DataFrame, n_ranges: int, total: int) -> list[int]:  # keys: _h, the key; _size; _id
     """Boundaries at the quantiles of a size-weighted sample of _h; a key that fills several ranges is repeated.
 
     A row of size s is drawn s * rate times on average, so the sample has about n_ranges * SAMPLES_PER_RANGE values,
