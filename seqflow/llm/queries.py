@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqflow.llm import chat, decontamination, fingerprints, mixing, sharding, simhash
+from seqflow.llm import chat, decontamination, fingerprints, mixing, sharding, simhash, suffix_dedup
 from seqflow.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_fingerprints, op6_mixing, op8_simhash, op9_decontamination, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_suffix_dedup, op5_fingerprints, op6_mixing, op8_simhash, op9_decontamination, op10_chat)}
 
 _ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '(<(/?s>)|\[(/?INST\]|SEP\]))', '..', 'g')"
 
