@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqflow.llm import chat, decontamination, fingerprints, mixing, sharding, simhash, suffix_dedup
+from seqflow.llm import chat, decontamination, fingerprints, langid, mixing, sharding, simhash, suffix_dedup, token_ids
 from seqflow.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.train(documents))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -26,6 +31,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_ids.write(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+    return token_ids.read(spark, path)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -50,7 +62,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_suffix_dedup, op5_fingerprints, op6_mixing, op8_simhash, op9_decontamination, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_langid, op4_suffix_dedup, op5_fingerprints, op6_mixing, op7_token_ids, op8_simhash, op9_decontamination, op10_chat)}
 
 _ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '(<(/?s>)|\[(/?INST\]|SEP\]))', '..', 'g')"
 

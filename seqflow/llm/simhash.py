@@ -134,6 +134,8 @@ def _scan(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp, streaming = np.empty(0, np.int64), np.empty(0, np.uint64), None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             new = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             if streaming is not None:  # the rest of a large cell
                 n = int(np.searchsorted(new[0], streaming, "right")) if new[0][0] == streaming else 0

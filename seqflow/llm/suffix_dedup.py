@@ -182,6 +182,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     last, seen, two = None, None, False
     for batch in batches:
+        if not batch.num_rows:
+            continue
         m, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
         low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
