@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqflow.llm import chat, decontamination, fingerprints, langid, mixing, sharding, simhash, suffix_dedup, token_ids
+from seqflow.llm import chat, decontamination, fingerprints, langid, mixing, sharding, simhash, suffix_dedup, token_ids, toxicity
 from seqflow.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return langid.identify(documents, langid.train(documents))
@@ -62,7 +67,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_langid, op4_suffix_dedup, op5_fingerprints, op6_mixing, op7_token_ids, op8_simhash, op9_decontamination, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_langid, op4_suffix_dedup, op5_fingerprints, op6_mixing, op7_token_ids, op8_simhash, op9_decontamination, op10_chat)}
 
 _ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '(<(/?s>)|\[(/?INST\]|SEP\]))', '..', 'g')"
 
