@@ -40,6 +40,7 @@ def shingle_hashes(hashes: Column, n: int) -> Column:
 
 
 def shingles(words: Column, n: int) -> Column:
+    """words must be a plain column: an expression would be evaluated for each shingle."""
     return F.array_distinct(each_shingle(words, n, lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " ")))
 
 
@@ -82,7 +83,8 @@ def contained(
         same = F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_h") == F.col("_ch"))
         pairs = (
             source.join(candidates.select(F.col("_id").alias("_cid"), F.col("_h").alias("_ch"), "_items"), same)
-            .select("_id", "_h", shingles(words_of(F.col("_text")), n).alias("_doc_shingles"), F.explode("_items").alias("_c"))
+            .select("_id", "_h", words_of(F.col("_text")).alias("_words"), "_items")
+            .select("_id", "_h", shingles(F.col("_words"), n).alias("_doc_shingles"), F.explode("_items").alias("_c"))
         )
         shared = F.size(F.array_intersect("_doc_shingles", "_item_shingles"))
         found = (
