@@ -25,7 +25,9 @@ from seqflow.llm.common import GAP, cut
 from seqflow.llm.sharding import at_or_below, splitters
 
 #: Samples of a fingerprint, slots computed in one row, hexadecimal digits of a sample.
-SLOTS, WIDTH, DIGITS = 32, 8, 4
+SLOTS, WIDTH, DIGITS = 32, 4, 4
+#: Bits of the tables of gamma quantiles.
+R_BITS, C_BITS = 12, 14
 CELL_BYTES, MAX_CELLS = 2 << 20, 65536
 SPACE = " \t\n\v\f\r"
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -36,23 +38,46 @@ def word_hashes(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(bare, GAP), lambda w: F.xxhash64(w)))
 
 
+def gamma_quantiles(n: int) -> list[float]:
+    """Quantiles (i + 1/2) / n of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by bisection."""
+    out = []
+    low = 0.0
+    for i in range(n):
+        q, high = (i + 0.5) / n, 60.0
+        a = low
+        while high - a > 1e-12 * high:
+            x = (a + high) / 2
+            a, high = (x, high) if 1 - (1 + x) * math.exp(-x) < q else (a, x)
+        low = a
+        out.append(a)
+    return out
+
+
+def literal(values: list[float]) -> Column:
+    """An array constant, folded once when the plan is made."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def bits(h: Column, at: int, n: int) -> Column:
-    """n bits of a hash as a number inside (0, 1)."""
-    return (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1)) + 0.5) / F.lit(float(1 << n))
+    return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1))
 
 
-def samples(term: Column, slot: Column, weights: list[Column]) -> list[Column]:
-    """For each weight: ln a in the upper bits, scaled, and a hash of word and t in the lower 16, so that the least value wins."""
-    h1, h2 = F.xxhash64(term, slot, F.lit(1)), F.xxhash64(term, slot, F.lit(2))
-    r = -F.ln(bits(h1, 0, 21) * bits(h1, 21, 21))
-    b = bits(h1, 42, 21)
-    ln_c = F.ln(-F.ln(bits(h2, 0, 32) * bits(h2, 32, 32)))
+def samples(base: Column, slot: int, log_weights: list[Column], r_table: Column, ln_c_table: Column) -> list[Column]:
+    """For each weight: ln a in the upper bits, scaled, and bits of the word and t in the lower 16, so that the least value wins.
+
+    base: a hash of the word and the chunk of slots. The gamma variables come from tables of their quantiles, which
+    takes no logarithm a slot. ln a lies between -100 and 10.
+    """
+    h = F.xxhash64(base, F.lit(slot))
+    r = F.get(r_table, bits(h, 0, R_BITS).cast("int"))
+    ln_c = F.get(ln_c_table, bits(h, R_BITS, C_BITS).cast("int"))
+    b = bits(h, R_BITS + C_BITS, 24) / F.lit(float(1 << 24))
     out = []
-    for w in weights:
-        t = F.floor(F.ln(w.cast("double")) / r + b)
-        ln_a = ln_c - r * (t - b + 1)
-        scaled = F.floor((F.least(F.greatest(ln_a, F.lit(-500.0)), F.lit(500.0)) + 512) * F.lit(float(1 << 36)))
-        out.append(F.shiftleft(scaled, DIGITS * 4) + F.xxhash64(h1, t).bitwiseAND(F.lit((1 << (DIGITS * 4)) - 1)))
+    for ln_w in log_weights:
+        t = F.floor(ln_w / r + b)
+        scaled = F.floor((ln_c - r * (t - b + 1) + 128) * F.lit(float(1 << 39)))
+        sample = F.shiftrightunsigned(h, 48).bitwiseXOR(t * 40503).bitwiseAND(F.lit((1 << (DIGITS * 4)) - 1))
+        out.append(F.shiftleft(scaled, DIGITS * 4) + sample)
     return out
 
 
@@ -142,11 +167,17 @@ def neighbours(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         F.sum(F.when((F.col("_at") >= n_own) & (F.col("_at") < n_all), 1).otherwise(0)).alias("_e"),
     )
     chunked = terms.withColumn("_chunk", F.explode(F.when(F.col("_fact") == 0, F.sequence(F.lit(0), F.lit(SLOTS // WIDTH - 1))).otherwise(F.array(F.lit(0)))))
+    # sampled in a projection of its own: narrow enough to be compiled, and nothing is computed twice
+    log = lambda w: F.ln(F.greatest(w, F.lit(1)).cast("double"))
+    chunked = chunked.withColumn("_base", F.xxhash64("_v", "_chunk")).withColumns({"_lw": log("_w"), "_le": log("_e")})
+    tables = literal(gamma_quantiles(1 << R_BITS)), literal([math.log(x) for x in gamma_quantiles(1 << C_BITS)])
+    drawn, aggs = [], [F.max(F.when(F.col("_fact") == i + 1, F.col("_v"))).alias(name) for i, name in enumerate(("_id", "_n", "_guest", "_d0", "_d1", "_d2", "_d3"))]
     word = F.col("_fact") == 0
-    aggs = [F.max(F.when(F.col("_fact") == i + 1, F.col("_v"))).alias(name) for i, name in enumerate(("_id", "_n", "_guest", "_d0", "_d1", "_d2", "_d3"))]
     for i in range(WIDTH):
-        own, new = samples(F.col("_v"), F.col("_chunk") * WIDTH + i, [F.greatest("_w", F.lit(1)), F.greatest("_e", F.lit(1))])
-        aggs += [F.min(F.when(word & (F.col("_w") > 0), own)).alias(f"_w{i}"), F.min(F.when(word & (F.col("_e") > 0), new)).alias(f"_e{i}")]
+        own, new = samples(F.col("_base"), i, [F.col("_lw"), F.col("_le")], *tables)
+        drawn += [own.alias(f"_w{i}"), new.alias(f"_e{i}")]
+        aggs += [F.min(F.when(word & (F.col("_w") > 0), F.col(f"_w{i}"))).alias(f"_w{i}"), F.min(F.when(word & (F.col("_e") > 0), F.col(f"_e{i}"))).alias(f"_e{i}")]
+    chunked = chunked.select("_cell", "_rn", "_chunk", "_fact", "_v", "_w", "_e", *drawn)
     digits = lambda c: F.lower(F.lpad(F.hex(F.col(c).bitwiseAND(F.lit((1 << (DIGITS * 4)) - 1))), DIGITS, "0"))
     chunks = chunked.groupBy("_cell", "_rn", "_chunk").agg(*aggs)
     piece = lambda k: F.concat(*[digits(f"_{k}{i}") for i in range(WIDTH)])
