@@ -1,58 +1,19 @@
-"""Helpers shared by the operators: the scratch folder, lineage cuts and table access."""
+"""What the operators share: words, table access, numbers that depend on a row's values only."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-import seqflow
+from seqflow.lineage import cut, scratch, sweep
+from seqflow.sources.tables import table
+
+__all__ = ["GAP", "WORD", "cut", "scratch", "sweep", "table", "uniform"]
 
-#: A run of characters that are neither a space nor \t \n \v \f \r.
+#: A run of characters that are neither a space nor \\t \\n \\v \\f \\r, and a run of those.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-# functions travel to the executors with their code, so the library need not be installed there
-cloudpickle.register_pickle_by_value(seqflow)
-
-_own: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir, which all machines share.
-
-    Where the setting is absent, a local session (tests) gets a temporary folder and any other is refused.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="seqflow-"))
-    return f"{base.rstrip('/')}/seqflow-{sc.applicationId}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df below scratch() and read it back: the result has no lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Remove all that cut() has written for this application. Results that still read it are lost."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def uniform(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns only."""

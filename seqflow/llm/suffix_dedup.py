@@ -1,18 +1,19 @@
 """Removal of repeated byte strings by column-wise construction of a collection's Burrows-Wheeler transform.
 
-A text's windows of WINDOW bytes are cut to strings: maximal runs of windows with one minimizer, the window's K bytes
-of least hash. Equal windows have equal minimizers, so all copies of a window are in strings of one minimizer, and each
-minimizer's strings are a collection that is indexed on its own:
+Each window of WINDOW bytes has an anchor, K of its bytes: the place of its T bytes of least hash, modulo the number of
+places K bytes can have in it (a mod-minimizer). A text is cut to strings, maximal runs of windows with one anchor. Equal
+windows have equal anchors, so all copies of a window are in strings of one anchor, and each anchor's strings are a
+collection that is indexed on its own:
 
-1. Minimizers that occur in one document only cannot repeat and are left out.
-2. The distinct strings of each other minimizer, each with its least document, are gathered to collections.
+1. Anchors that occur in one document only cannot repeat and are left out.
+2. The distinct strings of each other anchor, each with its least document, are gathered to collections.
 3. Each round inserts one symbol of each string, last symbol first, into the collection's transform and its longest
    common prefixes, by one sequential pass over both (the two "files" of a round, arrays here: a collection holds
-   BATCH strings of at most WINDOW + WINDOW - K bytes, or one minimizer's where that has more).
+   BATCH strings of at most WINDOW + SPAN - 1 bytes, or one anchor's where that has more).
 4. Runs of suffixes with common prefixes of WINDOW or more are the windows with one content; the least document of a
    run is compared with the documents of its strings.
 
-A minimizer with one distinct string has nothing to compare and skips 3. No text is ever in one row with another's.
+An anchor with one distinct string has nothing to compare and skips 3. No text is ever in one row with another's.
 
 Defined results: a null text is empty; null ids come after all others and are not before one another; equal ids are
 one document's for the comparison; repeated rows give equal results; texts shorter than WINDOW lose nothing; an empty
@@ -32,51 +33,48 @@ from pyspark.sql import functions as F
 
 from seqflow.llm.common import cut
 
-WINDOW, K = 50, 20
-SPAN = WINDOW - K + 1  # minimizer candidates of a window, and windows of a string at most
+WINDOW, K, T = 50, 32, 13
+SPAN = WINDOW - K + 1  # places of an anchor in a window, and windows of a string at most
 BATCH = 2048
-LAST, LAST_BITS = (1 << 63) - 1, (1 << 64) - 1
+LAST = (1 << 63) - 1
 _U = np.uint64
 #: A 64-bit number for each byte, by rule.
 BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 50) for b in range(256)], _U)
-STEP, LOCAL = _U(0x9E3779B97F4A7C15), _U((1 << 20) - 1)
+#: What a hash is multiplied by to append 1, 2, 4, 8, 16 bytes; the low bits that hold a place.
+POWERS = [_U(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(5)]
+MIX, LOCAL = _U(0xBF58476D1CE4E5B9), _U((1 << 20) - 1)
 
 
 def strings_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """minimizer (int64), first window, number of windows of each string of a text."""
-    none = np.empty(0, np.int64)
+    """anchor's hash (int64), first window, number of windows of each string of a text."""
     if len(text) < WINDOW:
+        none = np.empty(0, np.int64)
         return none, none, none
-    a = BYTES[np.frombuffer(text, np.uint8)]
-    h, width, mul = a, 1, STEP
-    parts = []  # hashes of 1, 2, 4, ... bytes, and what to multiply by to append as many
-    while True:
-        parts.append((h, width, mul))
-        if width * 2 > K:
-            break
-        h = h[:-width] * mul + h[width:]
-        width, mul = width * 2, _U(int(mul) ** 2 & LAST_BITS)
-    n, rest = len(text) - K + 1, K - width
-    h, at = h[:n].copy(), width
-    for part, w, m in reversed(parts[:-1]):
-        if rest >= w:
-            h = h * m + part[at : at + n]
-            at, rest = at + w, rest - w
-    h ^= h >> _U(29)
-    h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(32)
+    # hashes of 1, 2, 4, 8, 16 bytes at each place, by doubling
+    h = [BYTES[np.frombuffer(text, np.uint8)]]
+    for k in range(4):
+        h.append(h[k][: -(1 << k)] * POWERS[k] + h[k][1 << k :])
+    n = len(text) - T + 1
+    small = (h[3][:n] * POWERS[2] + h[2][8 : 8 + n]) * POWERS[0] + h[0][12 : 12 + n]  # 8 + 4 + 1 bytes
+    small ^= small >> _U(29)
+    small *= MIX
     # the upper bits order, the lower ones say where: of equal ones the first counts
-    v = (h & ~LOCAL) | (np.arange(n, dtype=_U) & LOCAL)
-    least, w = v, 1
-    while w * 2 <= SPAN:
+    place = np.arange(n, dtype=_U)
+    least, w = (small & ~LOCAL) | (place & LOCAL), 1
+    while w * 2 <= WINDOW - T + 1:
         least = np.minimum(least[:-w], least[w:])
         w *= 2
     n_windows = len(text) - WINDOW + 1
-    least = np.minimum(least[:n_windows], least[SPAN - w : SPAN - w + n_windows])
-    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    # the place of the minimizer: its lower bits, at or after the string's first window
-    at = first + ((least[first] - (first.astype(_U) & LOCAL)) & LOCAL).astype(np.int64)
-    return h[at].view(np.int64), first, np.diff(np.append(first, n_windows))
+    rest = WINDOW - T + 1 - w
+    least = np.minimum(least[:n_windows], least[rest : rest + n_windows])
+    ahead = ((least - place[:n_windows]) & LOCAL).astype(np.int64)
+    anchor = np.arange(n_windows) + np.where(ahead >= SPAN, ahead - SPAN, ahead)
+    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    at = anchor[first]
+    m = h[4][at] * POWERS[4] + h[4][at + 16]
+    m ^= m >> _U(29)
+    m *= MIX
+    return (m ^ (m >> _U(32))).view(np.int64), first, np.diff(np.append(first, n_windows))
 
 
 def string_ids(text: bytes, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -163,18 +161,14 @@ def least_documents(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [out[i, : n - WINDOW + 1] for i, n in enumerate(lengths.tolist())]
 
 
-def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, text to m, doc: the distinct anchors of each text."""
     for batch in batches:
-        hs, counts = [np.empty(0, np.int64)], []
-        for t in batch.column(2).cast(pa.binary()):
-            h = np.unique(strings_of(t.as_py())[0])
-            hs.append(h)
-            counts.append(len(h))
-        for c in range(0, len(counts), 256):  # a list of keys of all texts at once would be long
-            part = slice(c, c + 256)
-            keys = np.concatenate(hs[1 + c : 1 + c + 256]) if counts[part] else hs[0]
-            rep = np.repeat(np.arange(len(counts))[part], counts[part])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(rep)), batch.column(1).take(pa.array(rep))], ["m", "doc", "th"])
+        docs = batch.column(0).to_numpy()
+        for c in range(0, batch.num_rows, 256):  # the keys of all texts at once would be long
+            hs = [np.unique(strings_of(t.as_py())[0]) for t in batch.column(1)[c : c + 256].cast(pa.binary())]
+            doc = np.repeat(docs[c : c + 256], [len(h) for h in hs])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(doc)], ["m", "doc"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,84 +200,95 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [*held, batch.slice(int(starts[-1]))][:64]
 
 
+def _lists(column: pa.ListArray) -> Iterator[slice]:
+    """Where each row's list is in the flat values."""
+    offsets = column.offsets.to_numpy()
+    return (slice(int(i), int(j)) for i, j in zip(offsets[:-1], offsets[1:], strict=True))
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, text, anchors to m, sid, doc: the distinct strings of each text at these anchors."""
+    for m, sid, doc, _ in _cut(batches, with_strings=False):
+        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(sid), pa.array(np.full(len(m), doc))], ["m", "sid", "doc"])
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text, minimizers to keep: the distinct strings of each text."""
+    """doc, text, anchors to m, sid, string, doc."""
+    for m, sid, doc, cuts in _cut(batches, with_strings=True):
+        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(sid), pa.array(cuts, pa.binary()), pa.array(np.full(len(m), doc))], ["m", "sid", "string", "doc"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], with_strings: bool) -> Iterator[tuple]:
     for batch in batches:
-        for doc, text, keep in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+        docs, texts, flat = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()), batch.column(2).values.to_numpy()
+        for doc, text, part in zip(docs, texts, _lists(batch.column(2)), strict=True):
             text = text.as_py()
             m, first, count = strings_of(text)
-            own = np.flatnonzero(np.isin(m, keep.values.to_numpy()))
-            ids = string_ids(text, first[own], count[own])
-            ids, one = np.unique(ids, return_index=True)
+            own = np.flatnonzero(np.isin(m, flat[part]))
+            sid, one = np.unique(string_ids(text, first[own], count[own]), return_index=True)
             own = own[one]
-            cuts = [text[a : a + c + WINDOW - 1] for a, c in zip(first[own].tolist(), count[own].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(m[own]), pa.array(ids), pa.array(cuts, pa.binary()), pa.array(np.full(len(own), doc.as_py()), pa.int64())], ["m", "sid", "string", "doc"])
+            cuts = [text[a : a + c + WINDOW - 1] for a, c in zip(first[own].tolist(), count[own].tolist(), strict=True)] if with_strings else None
+            yield m[own], sid, doc, cuts
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of strings sorted by m: each string's least documents by window, for whole minimizers at a time."""
+    """Of strings sorted by m: each string's least documents by window, for whole anchors at a time."""
 
     def done(m: list[int], sid: list[int], strings: list[bytes], docs: list[int]) -> pa.RecordBatch:
-        keys = np.array(m)
-        alone = np.concatenate(([True], keys[1:] != keys[:-1])) & np.concatenate((keys[1:] != keys[:-1], [True]))
-        low = [None] * len(m)
-        for i in np.flatnonzero(alone).tolist():
-            low[i] = np.full(len(strings[i]) - WINDOW + 1, docs[i])
-        rest = np.flatnonzero(~alone).tolist()
-        if rest:
-            for i, x in zip(rest, least_documents([strings[i] for i in rest], np.array([docs[i] for i in rest])), strict=True):
-                low[i] = x
+        low = least_documents(strings, np.array(docs))
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in low])))
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(low)))
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sid, pa.int64()), lists], ["m", "sid", "low"])
+        return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(sid, pa.int64()), lists], ["m", "sid", "low"])
 
     m, sid, strings, docs = [], [], [], []
     for batch in batches:
         for column, more in zip((m, sid, strings, docs), batch.columns, strict=True):
             column += more.to_pylist()
-        while len(m) > BATCH:
-            end = BATCH
+        at = 0
+        while len(m) - at > BATCH:
+            end = at + BATCH
             while end < len(m) and m[end] == m[end - 1]:
                 end += 1
             if end == len(m):
-                break  # the last minimizer may go on
-            yield done(m[:end], sid[:end], strings[:end], docs[:end])
-            m, sid, strings, docs = m[end:], sid[end:], strings[end:], docs[end:]
+                break  # the last anchor may go on
+            yield done(m[at:end], sid[at:end], strings[at:end], docs[at:end])
+            at = end
+        m, sid, strings, docs = m[at:], sid[at:], strings[at:], docs[at:]
     if m:
         yield done(m, sid, strings, docs)
 
 
-def removed(text: bytes, repeats: dict[int, int]) -> np.ndarray:
-    """Starts and ends of the runs to remove. repeats: by string, a bit for each window that is in an earlier document."""
-    m, first, count = strings_of(text)
-    if not repeats or not len(first):
+def removed(text: bytes, anchors: np.ndarray, sids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Starts and ends of the runs to remove. For each string, a bit for each window that is in an earlier document."""
+    m, first, count = strings_of(text) if len(sids) else (np.empty(0),) * 3
+    own = np.flatnonzero(np.isin(m, anchors)) if len(m) else np.empty(0, np.int64)
+    if not len(own):
         return np.empty((0, 2), np.int64)
-    ids = string_ids(text, first, count)
-    hits = np.flatnonzero(np.isin(ids, np.fromiter(repeats, np.int64, len(repeats))))
-    edge = np.zeros(len(text) + 1, np.int32)
-    for i in hits.tolist():
-        bits = repeats[int(ids[i])]
-        at = first[i] + np.flatnonzero([bits >> k & 1 for k in range(int(count[i]))])
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + WINDOW, -1)
-    gone = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
-    turn = np.flatnonzero(gone[1:] != gone[:-1])
-    return turn.reshape(-1, 2)
+    first, count = first[own], count[own]
+    ids, order = string_ids(text, first, count), np.argsort(sids)
+    at = np.minimum(np.searchsorted(sids[order], ids), len(sids) - 1)
+    found = order[at]
+    window = np.arange(SPAN)
+    hit = ((bits[found][:, None] >> window) & 1).astype(bool) & (window < count[:, None]) & (sids[found] == ids)[:, None]
+    string, offset = np.nonzero(hit)
+    starts = first[string] + offset
+    edge = np.bincount(starts, minlength=len(text) + 1) - np.bincount(starts + WINDOW, minlength=len(text) + 1)[: len(text) + 1]
+    gone = np.concatenate(([False], np.cumsum(edge[: len(text)]) > 0, [False]))
+    return np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text, repeats to id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans."""
+    """id, text, repeats to the result's columns."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
     for batch in batches:
+        flat = [batch.column(2).values.field(k).to_numpy() for k in range(3)]
         rows = []
-        for text, repeats in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-            text, found = text.as_py(), {}
-            for r in repeats.as_py() or ():
-                found[r["sid"]] = found.get(r["sid"], 0) | r["bits"]
-            runs = removed(text, found)
-            at = np.concatenate(([0], runs.ravel(), [len(text)])).reshape(-1, 2).tolist()
-            kept = b"".join(text[a:b] for a, b in at)
+        for text, part in zip(batch.column(1).cast(pa.binary()), _lists(batch.column(2)), strict=True):
+            text = text.as_py()
+            runs = removed(text, *(x[part] for x in flat))
+            ends = np.concatenate(([0], runs.ravel(), [len(text)])).reshape(-1, 2).tolist()
+            kept = b"".join(text[a:b] for a, b in ends)
             rows.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "stop": b} for a, b in runs.tolist()]))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
         columns = zip(*rows, strict=True) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
@@ -293,26 +298,39 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), spans (byte offsets of what is removed)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
-    order = F.coalesce("_id", F.lit(LAST))
-    keys = docs.select(order.alias("doc"), F.col("_th").alias("th"), "_text").where(F.octet_length("_text") >= WINDOW)
-    occurring = keys.mapInArrow(_minimizers, "m long, doc long, th long").repartition("m").sortWithinPartitions("m", "doc")
-    shared = cut(occurring.mapInArrow(_shared, "m long, doc long, th long"), "minimizers")
-    by_doc = shared.groupBy("doc", "th").agg(F.collect_set("m").alias("ms"))
-    cuts = keys.join(by_doc, ["doc", "th"]).select("doc", "_text", "ms").mapInArrow(_strings, "m long, sid long, string binary, doc long")
-    strings = cut(cuts, "strings")
-    distinct = strings.groupBy("m", "sid", "string").agg(F.min("doc").alias("doc"))
-    indexed = cut(distinct.repartition("m").sortWithinPartitions("m").mapInArrow(_index, "m long, sid long, low array<long>"), "windows")
-    bits = F.aggregate("low", F.struct(F.lit(0).cast("long").alias("bits"), F.lit(1).cast("long").alias("one")), lambda a, x: F.struct(
-        F.when(x < F.col("doc"), a["bits"] + a["one"]).otherwise(a["bits"]).alias("bits"), (a["one"] * 2).alias("one")
-    ), lambda a: a["bits"])
+    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text.alias("_text"))
+    long = docs.where(F.octet_length("_text") >= WINDOW).select("doc", "_text")
+    occurring = long.mapInArrow(_anchors, "m long, doc long").repartition("m").sortWithinPartitions("m")
+    shared = cut(occurring.mapInArrow(_shared, "m long, doc long"), "anchors", release=True)
+
+    def texts_with(anchors: DataFrame) -> DataFrame:
+        """doc, text and the listed anchors of each document that has any."""
+        return long.join(anchors.groupBy("doc").agg(F.collect_list("m").alias("ms")), "doc").select("doc", "_text", "ms")
+
+    occurrences = cut(texts_with(shared).mapInArrow(_occurrences, "m long, sid long, doc long"), "occurrences", release=True)
+    firsts = cut(occurrences.groupBy("m", "sid").agg(F.min("doc").alias("doc")), "firsts", release=True)
+    many = firsts.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m")
+    compared = cut(firsts.join(many, "m", "left_semi"), "compared", release=True)
+    strings = texts_with(compared).mapInArrow(_strings, "m long, sid long, string binary, doc long")
+    # a document may have other strings at its anchors, whose first is elsewhere
+    strings = strings.join(compared, ["m", "sid", "doc"], "left_semi").select("m", "sid", "string", "doc").dropDuplicates(["m", "sid"])
+    indexed = strings.repartition("m").sortWithinPartitions("m").mapInArrow(_index, "m long, sid long, low array<long>")
+    alone = firsts.join(many, "m", "left_anti").select("m", "sid", F.array("doc").alias("low"))
+    windows = cut(alone.union(indexed), "windows", release=True)
+    bits = F.aggregate(
+        "low",
+        F.struct(F.lit(0).cast("long").alias("bits"), F.lit(1).cast("long").alias("one")),
+        lambda a, x: F.struct(F.when(x < F.col("doc"), a["bits"] + a["one"]).otherwise(a["bits"]).alias("bits"), (a["one"] * 2).alias("one")),
+        lambda a: a["bits"],
+    )
+    bits = F.when(F.size("low") > 1, bits).when(F.get("low", F.lit(0)) < F.col("doc"), F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
     repeats = (
-        strings.select("m", "sid", "doc")
-        .join(indexed, ["m", "sid"])
-        .select("doc", "sid", bits.alias("bits"))
-        .where("bits > 0")
+        occurrences.join(windows, ["m", "sid"])
+        .select("doc", "m", "sid", bits.alias("bits"))
+        .where("bits <> 0")
         .groupBy("doc")
-        .agg(F.collect_list(F.struct("sid", "bits")).alias("repeats"))
+        .agg(F.collect_list(F.struct("m", "sid", "bits")).alias("repeats"))
     )
+    none = F.array().cast("array<struct<m:bigint,sid:bigint,bits:bigint>>")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"
-    return docs.withColumn("doc", order).join(repeats, "doc", "left").select("_id", "_text", "repeats").mapInArrow(_keep, out)
+    return docs.join(repeats, "doc", "left").select("_id", "_text", F.coalesce("repeats", none)).mapInArrow(_keep, out)
