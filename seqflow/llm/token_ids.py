@@ -13,10 +13,11 @@ their text; repeated rows are documents each; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from seqflow.llm.common import scratch
 
 SEGMENT, BLOCK, CACHE, END = 1 << 19, 512, 500_000, 2
+#: ASCII marks that end words.
+MARKS = (b".", b",", b";", b":", b"!", b"?")
 FILES = "part int, seg int, n_ids long, n_docs long, doc_ids array<long>, starts array<long>, levels array<struct<chunks:binary,more:binary,ranks:binary>>"
 
 
@@ -69,29 +72,57 @@ class Codes:
 
 
 class WordEncoder:
-    """Ids of texts, word by word. Words met before are looked up; the cache is bounded.
+    """Ids of texts, word by word. Words met before are looked up, in two generations of at most CACHE words each.
 
     The tokenizer parts text at white space and drops it, and no normal form or merge reaches across it, so the ids of
-    a text are those of its parts between ASCII white space, one after another.
+    a text are those of its parts between ASCII white space, one after another. It lower-cases, so A-Z may be lower
+    from the start; and it parts letters from what is no letter, so an ASCII mark behind an ASCII letter stands alone.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.encode().split()
-        ids = self.ids
-        missing = [w for w in dict.fromkeys(words) if w not in ids]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids[w] = e.ids
-        out = np.fromiter(chain.from_iterable(map(ids.__getitem__, words)), np.uint32)
-        if len(ids) > CACHE:
-            ids.clear()
-        return out
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The encoder that this process already has, if any: a worker runs many tasks."""
+        kept = sys.modules.setdefault("_seqflow_encoders", types.ModuleType("_seqflow_encoders")).__dict__
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def look_up(self, words: set[bytes]) -> None:
+        """Bring words to the young generation."""
+        young, old = self.young, self.old
+        stems = {}
+        for w in words:
+            if (v := old.get(w)) is not None:
+                young[w] = v
+            elif w[-1:] in MARKS and w[-2:-1].isalpha():
+                stems[w] = w[:-1]
+            else:
+                stems[w] = w
+        new = [w for w in {*stems.values(), *(w[-1:] for w, s in stems.items() if s != w)} if w not in young and w not in old]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            young[w] = np.array(e.ids, "<u4").tobytes()
+        for w, s in stems.items():
+            if s != w:
+                young[w] = (young.get(s) or old[s]) + (young.get(w[-1:]) or old[w[-1:]])
+            elif w not in young:
+                young[w] = old[w]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        words = [t.encode().lower().split() for t in texts]
+        get = self.young.get
+        found = [list(map(get, ws)) for ws in words]
+        missing = {w for ws, vs in zip(words, found, strict=True) if None in vs for w, v in zip(ws, vs, strict=True) if v is None}
+        if missing:
+            self.look_up(missing)
+            found = [[get(w) if v is None else v for w, v in zip(ws, vs, strict=True)] if None in vs else vs for ws, vs in zip(words, found, strict=True)]
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        return [np.frombuffer(b"".join(vs), "<u4") for vs in found]
 
 
 def write(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END, parts: int | None = None) -> str:
@@ -111,17 +142,15 @@ def write(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: st
             row = {"part": part, "seg": seg, "n_ids": size, "n_docs": len(docs), "doc_ids": docs, "starts": starts.tolist(), "levels": encode(np.concatenate(arrays))}
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            encoder = encoder or WordEncoder(tokenizer)
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+            encoder = encoder or WordEncoder.of(tokenizer)
             part = batch.column(0)[0].as_py()
-            for doc, t in zip(batch.column(1), batch.column(2), strict=True):
-                ids = np.append(encoder.encode(t.as_py()), np.uint32(end))
+            for doc, ids in zip(batch.column(1).to_pylist(), encoder.encode(batch.column(2).to_pylist()), strict=True):
+                ids = np.append(ids, np.uint32(end))
                 if arrays and size + len(ids) > SEGMENT:
                     yield segment()
                     docs, arrays, size, seg = [], [], 0, seg + 1
-                docs.append(doc.as_py())
+                docs.append(doc)
                 arrays.append(ids)
                 size += len(ids)
         if arrays:
