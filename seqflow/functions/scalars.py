@@ -52,7 +52,7 @@ def cpu_set(text: Column) -> Column:
         low, high = ends[0].cast("int"), F.coalesce(F.get(ends, F.lit(1)), ends[0]).cast("int")
         return F.sequence(low, high)
 
-    items = F.transform(F.split(text, ","), F.trim)
+    items = F.transform(F.split(text, ","), lambda x: F.trim(x))
     taken = F.flatten(F.transform(F.filter(items, lambda x: ~x.startswith("!") & (x != "")), numbers))
     left = F.flatten(F.transform(F.filter(items, lambda x: x.startswith("!")), numbers))
     return F.array_sort(F.array_distinct(F.array_except(taken, left)))
