@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from seqflow.llm.common import cut, uniform
 
-MAX_TRAIN, MAX_WORDS, MAX_GRAMS, MAX_ORDER = 8000, 300_000, 200_000, 5
+MAX_TRAIN, MAX_WORDS, MAX_GRAMS, MAX_ORDER = 8000, 150_000, 100_000, 5
 #: Minus the logarithm (base 10) of the frequency of what a language does not have; fixed value.
 PENALTY = 7.0
 #: Unseen words whose scores a task keeps.

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import sys
 import types
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -71,6 +72,19 @@ class Codes:
         return rest
 
 
+#: Byte-level vocabularies write the bytes that have no visible character as the characters from 256 on.
+VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+CHARS = str.maketrans({b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in VISIBLE)})
+
+
+def as_letters(word: bytes) -> str | None:
+    """A word of Latin letters alone as the model's characters, for which the steps before the model do no more; else null."""
+    s = word.decode()
+    if not s.isalpha() or max(s) >= "\u0250" or "\u0130" in s:
+        return None
+    return unicodedata.normalize("NFC", s).lower().encode().decode("latin-1").translate(CHARS)
+
+
 class WordEncoder:
     """Ids of texts, word by word. Words met before are looked up, in two generations of at most CACHE words each.
 
@@ -104,7 +118,13 @@ class WordEncoder:
             else:
                 stems[w] = w
         new = [w for w in {*stems.values(), *(w[-1:] for w, s in stems.items() if s != w)} if w not in young and w not in old]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+        rest = []
+        for w in new:
+            if (letters := as_letters(w)) is None:
+                rest.append(w)
+            else:
+                young[w] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             young[w] = np.array(e.ids, "<u4").tobytes()
         for w, s in stems.items():
             if s != w:
@@ -113,16 +133,19 @@ class WordEncoder:
                 young[w] = old[w]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().lower().split() for t in texts]
-        get = self.young.get
-        found = [list(map(get, ws)) for ws in words]
-        missing = {w for ws, vs in zip(words, found, strict=True) if None in vs for w, v in zip(ws, vs, strict=True) if v is None}
-        if missing:
-            self.look_up(missing)
-            found = [[get(w) if v is None else v for w, v in zip(ws, vs, strict=True)] if None in vs else vs for ws, vs in zip(words, found, strict=True)]
+        words, ends = [], []
+        for t in texts:
+            words += t.encode().lower().split()
+            ends.append(len(words))
+        found = list(map(self.young.get, words))
+        if None in found:
+            holes = [i for i, v in enumerate(found) if v is None]
+            self.look_up({words[i] for i in holes})
+            for i in holes:
+                found[i] = self.young[words[i]]
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
-        return [np.frombuffer(b"".join(vs), "<u4") for vs in found]
+        return [np.frombuffer(b"".join(found[a:b]), "<u4") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def write(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END, parts: int | None = None) -> str:

@@ -39,6 +39,8 @@ RANGE, STEPS, RATE, CACHE = 1 << 16, 80, 0.3, 400_000
 #: Features: the word, its start, its end, the word before, the word after; and their penalties, so that words count first.
 KINDS, L2 = "wazpn", (1e-6, 5e-5, 5e-5, 2e-5, 2e-5)
 BUCKETS = RANGE * len(KINDS)
+#: Least probability that counts towards a document's expected number of toxic words.
+NOISE = 0.1
 WORDS = re.compile(r"\w+")
 
 
@@ -190,7 +192,7 @@ class Tagger:
 def summary(p: np.ndarray) -> tuple[float, float, float, float]:
     if not len(p):
         return 1.0, 0.0, 0.0, 0.0
-    total = float(p.sum())
+    total = float(p[p >= NOISE].sum())  # else the many words of a long text would add up to one
     return 1.0, float(np.log1p(total)), float(p.max()), total / len(p)
 
 
