@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seqflow.lineage import cut, scratch, sweep
+from seqflow.lineage import cut, discard, scratch, sweep
 from seqflow.sources.tables import table
 
-__all__ = ["GAP", "WORD", "cut", "scratch", "sweep", "table", "uniform"]
+__all__ = ["GAP", "WORD", "cut", "discard", "scratch", "sweep", "table", "uniform"]
 
 #: A run of characters that are neither a space nor \\t \\n \\v \\f \\r, and a run of those.
 WORD = r"[^\x20\x09-\x0D]+"

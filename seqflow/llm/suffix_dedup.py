@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqflow.llm.common import cut
+from seqflow.llm.common import cut, discard
 
 WINDOW, K, T = 50, 32, 13
 SPAN = WINDOW - K + 1  # places of an anchor in a window, and windows of a string at most
@@ -207,28 +207,34 @@ def _lists(column: pa.ListArray) -> Iterator[slice]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text, anchors to m, sid, doc: the distinct strings of each text at these anchors."""
-    for m, sid, doc, _ in _cut(batches, with_strings=False):
-        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(sid), pa.array(np.full(len(m), doc))], ["m", "sid", "doc"])
+    """doc, row, text, anchors to m, sid, doc, row, n (windows), at (first windows): the distinct strings of each text at these anchors."""
+    for batch in batches:
+        docs, rows, texts, flat = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.binary()), batch.column(3).values.to_numpy()
+        for doc, row, text, part in zip(docs, rows, texts, _lists(batch.column(3)), strict=True):
+            text = text.as_py()
+            m, first, count = strings_of(text)
+            own = np.flatnonzero(np.isin(m, flat[part]))
+            sid = string_ids(text, first[own], count[own])
+            order = np.argsort(sid, kind="stable")
+            own, sid = own[order], sid[order]
+            starts = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1]))) if len(sid) else np.empty(0, np.int64)
+            one = own[starts]
+            at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(own)), pa.int32()), pa.array(first[own], pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(m[one]), pa.array(sid[starts]), pa.array(np.full(len(one), doc)), pa.array(np.full(len(one), row)), pa.array(count[one], pa.int32()), at],
+                ["m", "sid", "doc", "row", "n", "at"],
+            )
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text, anchors to m, sid, string, doc."""
-    for m, sid, doc, cuts in _cut(batches, with_strings=True):
-        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(sid), pa.array(cuts, pa.binary()), pa.array(np.full(len(m), doc))], ["m", "sid", "string", "doc"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch], with_strings: bool) -> Iterator[tuple]:
+    """doc, text, places (m, sid, at, n) to m, sid, string, doc."""
     for batch in batches:
-        docs, texts, flat = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()), batch.column(2).values.to_numpy()
+        docs, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+        m, sid, at, n = (batch.column(2).values.field(k).to_numpy() for k in range(4))
         for doc, text, part in zip(docs, texts, _lists(batch.column(2)), strict=True):
             text = text.as_py()
-            m, first, count = strings_of(text)
-            own = np.flatnonzero(np.isin(m, flat[part]))
-            sid, one = np.unique(string_ids(text, first[own], count[own]), return_index=True)
-            own = own[one]
-            cuts = [text[a : a + c + WINDOW - 1] for a, c in zip(first[own].tolist(), count[own].tolist(), strict=True)] if with_strings else None
-            yield m[own], sid, doc, cuts
+            cuts = [text[a : a + c + WINDOW - 1] for a, c in zip(at[part].tolist(), n[part].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(m[part]), pa.array(sid[part]), pa.array(cuts, pa.binary()), pa.array(np.full(len(cuts), doc))], ["m", "sid", "string", "doc"])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,22 +264,13 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(m, sid, strings, docs)
 
 
-def removed(text: bytes, anchors: np.ndarray, sids: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Starts and ends of the runs to remove. For each string, a bit for each window that is in an earlier document."""
-    m, first, count = strings_of(text) if len(sids) else (np.empty(0),) * 3
-    own = np.flatnonzero(np.isin(m, anchors)) if len(m) else np.empty(0, np.int64)
-    if not len(own):
-        return np.empty((0, 2), np.int64)
-    first, count = first[own], count[own]
-    ids, order = string_ids(text, first, count), np.argsort(sids)
-    at = np.minimum(np.searchsorted(sids[order], ids), len(sids) - 1)
-    found = order[at]
+def removed(length: int, at: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Starts and ends of the runs to remove. For each string, a bit for each of its n windows that is in an earlier document."""
     window = np.arange(SPAN)
-    hit = ((bits[found][:, None] >> window) & 1).astype(bool) & (window < count[:, None]) & (sids[found] == ids)[:, None]
-    string, offset = np.nonzero(hit)
-    starts = first[string] + offset
-    edge = np.bincount(starts, minlength=len(text) + 1) - np.bincount(starts + WINDOW, minlength=len(text) + 1)[: len(text) + 1]
-    gone = np.concatenate(([False], np.cumsum(edge[: len(text)]) > 0, [False]))
+    string, offset = np.nonzero(((bits[:, None] >> window) & 1).astype(bool) & (window < n[:, None]))
+    starts = at[string] + offset
+    edge = np.bincount(starts, minlength=length + 1) - np.bincount(starts + WINDOW, minlength=length + 1)
+    gone = np.concatenate(([False], np.cumsum(edge[:length]) > 0, [False]))
     return np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
 
 
@@ -285,7 +282,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, part in zip(batch.column(1).cast(pa.binary()), _lists(batch.column(2)), strict=True):
             text = text.as_py()
-            runs = removed(text, *(x[part] for x in flat))
+            runs = removed(len(text), *(x[part] for x in flat))
             ends = np.concatenate(([0], runs.ravel(), [len(text)])).reshape(-1, 2).tolist()
             kept = b"".join(text[a:b] for a, b in ends)
             rows.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "stop": b} for a, b in runs.tolist()]))
@@ -299,24 +296,30 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), spans (byte offsets of what is removed)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text.alias("_text"))
-    long = docs.where(F.octet_length("_text") >= WINDOW).select("doc", "_text")
-    occurring = long.mapInArrow(_anchors, "m long, doc long").repartition("m").sortWithinPartitions("m")
+    # rows with one id are one document to the comparison, but have their own places: a hash of the text tells them apart
+    repeated = df.groupBy(F.col(id_col).alias("_rid")).count().where("count > 1").limit(1).count() > 0
+    docs = docs.withColumn("row", F.xxhash64("_text") if repeated else F.lit(0).cast("long"))
+    long = docs.where(F.octet_length("_text") >= WINDOW).select("doc", "row", "_text")
+    occurring = long.select("doc", "_text").mapInArrow(_anchors, "m long, doc long").repartition("m").sortWithinPartitions("m")
     shared = cut(occurring.mapInArrow(_shared, "m long, doc long"), "anchors", release=True)
 
-    def texts_with(anchors: DataFrame) -> DataFrame:
-        """doc, text and the listed anchors of each document that has any."""
-        return long.join(anchors.groupBy("doc").agg(F.collect_list("m").alias("ms")), "doc").select("doc", "_text", "ms")
-
-    occurrences = cut(texts_with(shared).mapInArrow(_occurrences, "m long, sid long, doc long"), "occurrences", release=True)
-    firsts = cut(occurrences.groupBy("m", "sid").agg(F.min("doc").alias("doc")), "firsts", release=True)
-    many = firsts.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m")
-    compared = cut(firsts.join(many, "m", "left_semi"), "compared", release=True)
-    strings = texts_with(compared).mapInArrow(_strings, "m long, sid long, string binary, doc long")
-    # a document may have other strings at its anchors, whose first is elsewhere
-    strings = strings.join(compared, ["m", "sid", "doc"], "left_semi").select("m", "sid", "string", "doc").dropDuplicates(["m", "sid"])
+    lists = shared.groupBy("doc").agg(F.collect_list("m").alias("ms"))
+    occurrences = cut(long.join(lists, "doc").select("doc", "row", "_text", "ms").mapInArrow(_occurrences, "m long, sid long, doc long, row long, n int, at array<int>"), "occurrences", release=True)
+    discard(shared)
+    first_of = occurrences.select("m", "sid", "doc", "row", "n", F.get("at", F.lit(0)).alias("at")).groupBy("m", "sid")
+    own_row = F.min_by("row", "doc") if repeated else F.min("row")
+    firsts = cut(first_of.agg(F.min("doc").alias("doc"), own_row.alias("row"), F.min_by("at", "doc").alias("at"), F.max("n").alias("n")), "firsts", release=True)
+    many = firsts.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m", F.lit(True).alias("many"))
+    flagged = cut(firsts.join(many, "m", "left"), "flagged", release=True)
+    discard(firsts)
+    places = flagged.where("many").groupBy("doc", "row").agg(F.collect_list(F.struct("m", "sid", "at", "n")).alias("places"))
+    strings = long.join(places, ["doc", "row"]).select("doc", "_text", "places").mapInArrow(_strings, "m long, sid long, string binary, doc long")
+    if repeated:  # a row that is repeated whole gives its strings again
+        strings = strings.dropDuplicates(["m", "sid"])
     indexed = strings.repartition("m").sortWithinPartitions("m").mapInArrow(_index, "m long, sid long, low array<long>")
-    alone = firsts.join(many, "m", "left_anti").select("m", "sid", F.array("doc").alias("low"))
+    alone = flagged.where("many is null").select("m", "sid", F.array("doc").alias("low"))
     windows = cut(alone.union(indexed), "windows", release=True)
+    discard(flagged)
     bits = F.aggregate(
         "low",
         F.struct(F.lit(0).cast("long").alias("bits"), F.lit(1).cast("long").alias("one")),
@@ -326,11 +329,14 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     bits = F.when(F.size("low") > 1, bits).when(F.get("low", F.lit(0)) < F.col("doc"), F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
     repeats = (
         occurrences.join(windows, ["m", "sid"])
-        .select("doc", "m", "sid", bits.alias("bits"))
+        .select("doc", "row", "n", "at", bits.alias("bits"))
         .where("bits <> 0")
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("m", "sid", "bits")).alias("repeats"))
+        .select("doc", "row", "n", F.explode("at").alias("at"), "bits")
+        .groupBy("doc", "row")
+        .agg(F.collect_list(F.struct("at", "n", "bits")).alias("repeats"))
     )
-    none = F.array().cast("array<struct<m:bigint,sid:bigint,bits:bigint>>")
+    repeats = cut(repeats, "repeats", release=True)
+    discard(occurrences, windows)
+    none = F.array().cast("array<struct<at:int,n:int,bits:bigint>>")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"
-    return docs.join(repeats, "doc", "left").select("_id", "_text", F.coalesce("repeats", none)).mapInArrow(_keep, out)
+    return docs.join(repeats, ["doc", "row"], "left").select("_id", "_text", F.coalesce("repeats", none)).mapInArrow(_keep, out)
