@@ -48,6 +48,16 @@ def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that cut() wrote and nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for file in df.inputFiles()[:1]:
+            path = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getParent().getName() == f"seqflow-{sc.applicationId}":
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove all that cut() has written for this application. Results that still read it are lost."""
     jvm = spark.sparkContext._jvm
