@@ -1,7 +1,8 @@
 """Toxicity by a linear-chain conditional random field.
 
 Two tags, clean and toxic, over the words of a text. Words of training texts are labelled from their documents' labels:
-a word is toxic in a text marked toxic if texts marked so have it far oftener than others (a likelihood-ratio test).
+a word is toxic in a text marked toxic if it, or its start, is far oftener in texts marked so than in others (a
+likelihood-ratio test over distinct contexts, a word with its neighbours, so that copies of a text count once).
 The field is fitted to windows of those texts by its exact gradient, from forward-backward marginals. A whole text is
 scored by the marginals of its words: a logistic curve over the expected number of toxic words, their greatest
 probability and their share gives the document's score; words with a probability of a half or more give the spans.
@@ -32,12 +33,14 @@ from seqflow.llm.common import cut, uniform
 from seqflow.llm.langid import held_out
 
 MAX_TRAIN, MAX_WINDOWS, MAX_WORDS, LENGTH = 6000, 12_000, 20_000, 24
-#: Of a toxic word: share in toxic texts over share in others, number of toxic texts, and twice the logarithm of the
-#: likelihood ratio beyond twice that of the number of words tried (a Bonferroni bound).
-LIFT, SUPPORT, G_BEYOND = 5.0, 3, 6.0
+#: Of a toxic word or start: share of contexts in toxic texts over that in others, contexts in toxic texts, and twice the
+#: logarithm of the likelihood ratio beyond twice that of the number of units tried (a Bonferroni bound).
+LIFT, SUPPORT, G_BEYOND = 8.0, 3, 6.0
 RANGE, STEPS, RATE, CACHE = 1 << 16, 80, 0.3, 400_000
-#: Features: the word, its start, its end, the word before, the word after; and their penalties, so that words count first.
-KINDS, L2 = "wazpn", (1e-6, 5e-5, 5e-5, 2e-5, 2e-5)
+#: Letters of the starts that are units beside whole words.
+STARTS = (4, 5)
+#: Features: the word, its starts, its end, the word before, the word after; and their penalties.
+KINDS, L2 = "wabzpn", (1e-6, 2e-6, 2e-6, 5e-5, 2e-5, 2e-5)
 BUCKETS = RANGE * len(KINDS)
 #: Least probability that counts towards a document's expected number of toxic words.
 NOISE = 0.1
@@ -51,10 +54,10 @@ def bucket(kind: str, value: str) -> int:
     return KINDS.index(kind) * RANGE + xxhash.xxh32_intdigest(value) % RANGE
 
 
-def features(word: str) -> tuple[int, int, int, int, int]:
-    """Buckets of the word itself, its start, its end, and the word as neighbour on either side."""
+def features(word: str) -> tuple[int, ...]:
+    """Buckets of the word itself, its starts, its end, and the word as neighbour on either side."""
     w = word.lower()
-    return bucket("w", w), bucket("a", w[:3]), bucket("z", w[-3:]), bucket("p", w), bucket("n", w)
+    return bucket("w", w), *(bucket(k, w[:n]) for k, n in zip("ab", STARTS, strict=True)), bucket("z", w[-3:]), bucket("p", w), bucket("n", w)
 
 
 def passes(emission: np.ndarray, transition: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,9 +126,9 @@ def fit_field(windows: list[tuple[list[str], list[int]]]) -> tuple[np.ndarray, f
     y = np.array([t for _, ts in windows for t in ts], float)
     n = len(y)
     previous, following = np.full(n, -1), np.full(n, -1)
-    previous[1:] = np.where(fresh[1:], -1, rows[:-1, 3])
-    following[:-1] = np.where(fresh[1:], -1, rows[1:, 4])
-    used = np.column_stack((rows[:, :3], previous, following))
+    previous[1:] = np.where(fresh[1:], -1, rows[:-1, 4])
+    following[:-1] = np.where(fresh[1:], -1, rows[1:, 5])
+    used = np.column_stack((rows[:, :4], previous, following))
     used[used < 0] = BUCKETS  # no neighbour
     theta = np.zeros(BUCKETS + 1 + 1 + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -138,7 +141,7 @@ def fit_field(windows: list[tuple[list[str], list[int]]]) -> tuple[np.ndarray, f
         p = forward * backward
         miss = p[:, 1] / p.sum(1) - y
         g = np.zeros_like(theta)
-        for k in range(5):
+        for k in range(len(KINDS)):
             g[: BUCKETS + 1] += np.bincount(used[:, k], miss, BUCKETS + 1)
         g[BUCKETS] = 0.0
         g[BUCKETS + 1] = miss.sum()
@@ -167,7 +170,7 @@ class Tagger:
         for word in set(words).difference(index):
             f = features(word)
             at = index[word] = len(index)
-            self.table[at] = w[f[0]] + w[f[1]] + w[f[2]] + self.model.bias, w[f[3]], w[f[4]]
+            self.table[at] = sum(w[x] for x in f[:4]) + self.model.bias, w[f[4]], w[f[5]]
         return list(map(index.__getitem__, words))
 
     def tag(self, texts: list[str]) -> list[np.ndarray]:
@@ -219,21 +222,34 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     n1, n0 = counts.get(True, 0), counts.get(False, 0)
     if not n1 or not n0:
         return None
-    words = sample.select((F.col("_y") > 0).alias("y"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
-    by_word = cut(words.groupBy("w").agg(F.count_if("y").alias("a"), F.count_if(~F.col("y")).alias("b")).where(f"a >= {SUPPORT}"), "tox-words")
-    a, b, n_ = F.col("a"), F.col("b"), F.lit(float(n1 + n0))
+    words = sample.select((F.col("_y") > 0).alias("y"), F.regexp_extract_all(F.lower("_text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("ws"))
+    around = F.transform("ws", lambda w, i: F.struct(F.get("ws", i - 1).alias("before"), w.alias("w"), F.get("ws", i + 1).alias("after")))
+    contexts = cut(words.select("y", F.explode(around).alias("c")).distinct().select("y", "c.w"), "tox-contexts")
+    m = {r[0]: r[1] for r in contexts.groupBy("y").count().collect()}
+    m1, m0 = m.get(True, 0), m.get(False, 0)
+    if not m1 or not m0:
+        return None
+    units = [F.struct(F.lit(0).alias("k"), F.col("w").alias("u"))] + [F.struct(F.lit(n).alias("k"), F.when(F.length("w") >= n, F.substring("w", 1, n)).alias("u")) for n in STARTS]
+    counted = contexts.select("y", F.explode(F.array(*units)).alias("x")).where("x.u is not null").groupBy("x.k", "x.u")
+    tried = cut(counted.agg(F.count_if("y").alias("a"), F.count_if(~F.col("y")).alias("b")).where(f"a >= {SUPPORT}"), "tox-units")
+    a, b, n_ = F.col("a"), F.col("b"), F.lit(float(m1 + m0))
     part = lambda o, e: F.when(o > 0, 2 * o * F.ln(o / e)).otherwise(0.0)
-    g = part(a, (a + b) * n1 / n_) + part(b, (a + b) * n0 / n_) + part(n1 - a, (n_ - a - b) * n1 / n_) + part(n0 - b, (n_ - a - b) * n0 / n_)
-    least = 2 * math.log(max(1, by_word.count())) + G_BEYOND
-    found = by_word.where(f"a * {n0}D > b * {n1}D * {LIFT}").where(g >= least)
-    toxic = {r[0] for r in found.orderBy(F.desc("a"), "w").limit(MAX_WORDS).select("w").collect()}
+    g = part(a, (a + b) * m1 / n_) + part(b, (a + b) * m0 / n_) + part(m1 - a, (n_ - a - b) * m1 / n_) + part(m0 - b, (n_ - a - b) * m0 / n_)
+    least = 2 * math.log(max(1, tried.count())) + G_BEYOND
+    found = tried.where(f"a * {m0}D > b * {m1}D * {LIFT}").where(g >= least)
+    toxic = {(r[0], r[1]) for r in found.orderBy(F.desc("a"), "k", "u").limit(MAX_WORDS).select("k", "u").collect()}
+
+    def is_toxic(word: str) -> bool:
+        w = word.lower()
+        return (0, w) in toxic or any((n, w[:n]) in toxic for n in STARTS)
+
     # windows of the bounded sample: those with a toxic word first, others up to as many as there is room for
     windows, others, texts_seen = [], [], []
     share = min(1.0, MAX_WINDOWS / max(1, (n1 + n0) * 16))
     random = np.random.default_rng(5)
     for text, y in sample.orderBy(F.xxhash64("_text"), "_y").toLocalIterator():
         ws = WORDS.findall(text)
-        tags = [int(y > 0 and w.lower() in toxic) for w in ws]
+        tags = [int(y > 0 and is_toxic(w)) for w in ws]
         for i in range(0, len(ws), LENGTH):
             piece = ws[i : i + LENGTH], tags[i : i + LENGTH]
             if any(piece[1]):
