@@ -208,9 +208,10 @@ def _lists(column: pa.ListArray) -> Iterator[slice]:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, row, text, anchors to m, sid, doc, row, n (windows), at (first windows): the distinct strings of each text at these anchors."""
-    for batch in batches:
-        docs, rows, texts, flat = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.binary()), batch.column(3).values.to_numpy()
-        for doc, row, text, part in zip(docs, rows, texts, _lists(batch.column(3)), strict=True):
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+        texts, flat = batch.column(2).cast(pa.binary()), batch.column(3).values.to_numpy()
+        ms, sids, ns, ats, sizes, spans = [], [], [], [], [], []
+        for text, part in zip(texts, _lists(batch.column(3)), strict=True):
             text = text.as_py()
             m, first, count = strings_of(text)
             own = np.flatnonzero(np.isin(m, flat[part]))
@@ -219,22 +220,28 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, sid = own[order], sid[order]
             starts = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1]))) if len(sid) else np.empty(0, np.int64)
             one = own[starts]
-            at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(own)), pa.int32()), pa.array(first[own], pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(m[one]), pa.array(sid[starts]), pa.array(np.full(len(one), doc)), pa.array(np.full(len(one), row)), pa.array(count[one], pa.int32()), at],
-                ["m", "sid", "doc", "row", "n", "at"],
-            )
+            for column, more in zip((ms, sids, ns, ats, spans), (m[one], sid[starts], count[one], first[own], np.diff(np.append(starts, len(own)))), strict=True):
+                column.append(more)
+            sizes.append(len(one))
+        at = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.concatenate(spans)))), pa.int32()), pa.array(np.concatenate(ats), pa.int32()))
+        docs, rows = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
+        columns = [pa.array(np.concatenate(ms)), pa.array(np.concatenate(sids)), pa.array(docs), pa.array(rows), pa.array(np.concatenate(ns), pa.int32()), at]
+        yield pa.RecordBatch.from_arrays(columns, ["m", "sid", "doc", "row", "n", "at"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, text, places (m, sid, at, n) to m, sid, string, doc."""
-    for batch in batches:
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         docs, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+        parts = list(_lists(batch.column(2)))
+        whole = slice(parts[0].start, parts[-1].stop)
         m, sid, at, n = (batch.column(2).values.field(k).to_numpy() for k in range(4))
-        for doc, text, part in zip(docs, texts, _lists(batch.column(2)), strict=True):
+        cuts = []
+        for text, part in zip(texts, parts, strict=True):
             text = text.as_py()
-            cuts = [text[a : a + c + WINDOW - 1] for a, c in zip(at[part].tolist(), n[part].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(m[part]), pa.array(sid[part]), pa.array(cuts, pa.binary()), pa.array(np.full(len(cuts), doc))], ["m", "sid", "string", "doc"])
+            cuts += [text[a : a + c + WINDOW - 1] for a, c in zip(at[part].tolist(), n[part].tolist(), strict=True)]
+        doc = np.repeat(docs, [part.stop - part.start for part in parts])
+        yield pa.RecordBatch.from_arrays([pa.array(m[whole]), pa.array(sid[whole]), pa.array(cuts, pa.binary()), pa.array(doc)], ["m", "sid", "string", "doc"])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
