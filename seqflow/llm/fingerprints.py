@@ -17,6 +17,7 @@ successor; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,8 +102,7 @@ def in_cells(df: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     n_cells = min(MAX_CELLS, max(1, math.ceil(total / CELL_BYTES)))
     drawn = splitters(keys.select("_id", "_h", "_size"), n_cells, total)
     bounds = sorted(set(drawn))
-    parts = {b: drawn.count(b) for b in bounds} if len(drawn) > len(bounds) else {}
-    heavy = {b: n for b, n in parts.items() if n > 1}  # an id that fills several ranges is split by the texts' hash
+    heavy = {b: n for b, n in Counter(drawn).items() if n > 1}  # an id that fills several ranges is split by the texts' hash
 
     def celled(d: DataFrame, key: Column) -> DataFrame:
         number = F.when(key.isin(list(heavy)), F.element_at(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv]), key)).otherwise(1) if heavy else F.lit(1)

@@ -75,9 +75,7 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
         moved = moved.withColumn("_lo", F.when(over < 0, F.col("_lambda")).otherwise(F.col("_lo"))).withColumn(
             "_hi", F.when(over > 0, F.col("_lambda")).otherwise(F.col("_hi"))
         )
-        newton = F.col("_lambda") - over / F.col("_slope")
-        inside = (F.col("_slope") > 0) & (F.try_divide(over, F.col("_slope")).isNotNull())
-        moved = moved.withColumn("_next", F.when(inside, F.col("_lambda") - F.try_divide(over, F.col("_slope"))))
+        moved = moved.withColumn("_next", F.when(F.col("_slope") > 0, F.col("_lambda") - F.try_divide(over, F.col("_slope"))))
         bisect = (F.col("_lo") + F.col("_hi")) / 2
         keep = F.col("_done") | (F.abs(over) <= F.col("target") * TOLERANCE)
         good = (F.col("_next") > F.col("_lo")) & (F.col("_next") < F.col("_hi"))

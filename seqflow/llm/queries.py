@@ -69,8 +69,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_langid, op4_suffix_dedup, op5_fingerprints, op6_mixing, op7_token_ids, op8_simhash, op9_decontamination, op10_chat)}
 
-_ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '(<(/?s>)|\[(/?INST\]|SEP\]))', '..', 'g')"
-
 ORACLE_SQL = {
     "op9_decontamination": r"""
 with d as (select distinct doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),

@@ -10,6 +10,7 @@ their names. A record larger than a shard's share is placed whole.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def at_or_below(value: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    array = F.lit(bounds) if len(bounds) > 1 else F.array(F.lit(bounds[0]))
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to a constant
 
     def step(found: Column, by: Column) -> Column:
         return F.when((found + by <= len(bounds)) & (F.get(array, found + by - 1) <= value), found + by).otherwise(found)
@@ -85,7 +86,7 @@ def shard(
     n_ranges = min(MAX_RANGES, max(4 * n_shards, math.ceil(total / range_bytes)))
     drawn = splitters(keys, n_ranges, total)
     bounds = sorted(set(drawn))
-    heavy = [b for b in bounds if drawn.count(b) > 1] if len(drawn) != len(bounds) else []
+    heavy = [b for b, n in Counter(drawn).items() if n > 1]
     is_heavy = F.col("_h").isin(heavy) if heavy else F.lit(False)
     # two ids a range: one for its heavy splitter alone, one for the rest
     ranged = keys.withColumn("_heavy", is_heavy).withColumn(

@@ -187,7 +187,7 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def simhash(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, _h, fingerprint (16 hexadecimal digits), component_id for each row."""
+    """doc_id, _h, fingerprint (16 hexadecimal digits), component_id, _class (a fingerprint that names the component) for each row."""
     prints = cut(fingerprints(df, id_col=id_col, text_col=text_col), "fingerprints")
     firsts = cut(prints.groupBy("_fp").agg(F.min("_id").alias("_first")), "distinct")
     roots = components(links(firsts))
@@ -195,25 +195,22 @@ def simhash(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     least = linked.groupBy("root").agg(F.min("_first").alias("_least"))
     # written, so that a fingerprint that many rows share is split by the join below
     classes = cut(
-        firsts.join(linked.join(least, "root").select("_fp", "_least"), "_fp", "left").select(
-            "_fp", F.coalesce("_least", "_first").alias("component_id")
+        firsts.join(linked.join(least, "root").select("_fp", "_least", "root"), "_fp", "left").select(
+            "_fp", F.coalesce("_least", "_first").alias("component_id"), F.coalesce("root", "_fp").alias("_class")
         ),
         "classes",
     )
     return prints.join(classes, "_fp").select(
-        F.col("_id").alias("doc_id"), "_h", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("_id").alias("doc_id"), "_h", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "_class"
     )
 
 
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stand first in their component: one row of each group of near-duplicates."""
+    """One row of each group of near-duplicates: of those with its least id (null where no row has one) the least hash of a text."""
     found = simhash(df, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_h").alias("_kh"))
-    # a component without any id is kept by its fingerprints' own group
-    kept = cut(kept, "kept")
-    names = df.columns
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("_kept")
+    kept = cut(found.groupBy("_class").agg(first).select(F.col("_kept.doc_id").alias("_kept_id"), F.col("_kept._h").alias("_kept_h")), "kept")
     marked = df.withColumn("_row_h", F.xxhash64(F.col(text_col)))
-    match = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("_row_h") == F.col("_kh"))
-    out = marked.join(kept, match, "left_semi")
+    out = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_row_h") == F.col("_kept_h")), "left_semi")
     repeated = df.groupBy(F.col(id_col).alias("_rid")).count().where("count > 1").limit(1).count() > 0
-    return (out.dropDuplicates([id_col, "_row_h"]) if repeated else out).select(*names)
+    return (out.dropDuplicates([id_col, "_row_h"]) if repeated else out).select(*df.columns)

@@ -9,6 +9,7 @@ AWKWARD = [
     (4, ""),
     (5, " \t\n "),
     (None, "a row without an id, and nothing else of note in it at all, not a thing"),
+    (None, "another row without an id; it shares no more than five of the words in a row"),
     (6, "été ça où naïve – 中文字符 😀 " * 7),
     (7, "word " * 30_000),
     (8, "x" * 5000),
