@@ -5,8 +5,6 @@ The position of a key is the number of keys below it, so find needs two aggregat
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +72,3 @@ def is_sorted(seq: Sequence, value: str) -> DataFrame:
     return seq.neighbours(value).agg(
         (~F.coalesce(F.bool_or(down), F.lit(False))).alias("sorted"), F.coalesce(F.min(F.when(down, F.col("pos") + 1)), F.count("*")).alias("pos")
     )
-
-
-def any_of(predicates: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, predicates)
