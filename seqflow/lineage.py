@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark import cloudpickle
@@ -32,20 +30,23 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/seqflow-{sc.applicationId}"
 
 
-def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Write df below scratch() and read it back: the result has no lineage and survives lost executors.
+#: Drops a statement's shuffle files when it ends, where else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    With release, the driver collects its garbage, upon which Spark drops the shuffle files of plans that are gone.
-    """
-    spark, schema = df.sparkSession, df.schema
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df below scratch() and read it back: the result has no lineage and survives lost executors."""
+    spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if release:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        if before is not None:
+            spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
