@@ -35,7 +35,7 @@ from seqflow.llm.common import cut, discard
 
 WINDOW, K, T = 50, 32, 13
 SPAN = WINDOW - K + 1  # places of an anchor in a window, and windows of a string at most
-BATCH = 2048
+BATCH, CHUNK = 2048, 4_000_000
 LAST = (1 << 63) - 1
 _U = np.uint64
 #: A 64-bit number for each byte, by rule.
@@ -172,32 +172,37 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by m, those whose m has two documents or more. Holds one batch and the m at its end."""
-    held: list[pa.RecordBatch] = []
-    last, seen, two = None, None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        m, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    """Of rows dealt by m, those whose m has two documents or more, in any order.
+
+    Holds the keys with two documents and one row of each other key, so a frequent key is one entry; CHUNK rows at a time.
+    """
+    many, alone, lone_docs, held, n = (np.empty(0, np.int64),) * 3 + ([], 0)
+
+    def flush() -> pa.RecordBatch:
+        nonlocal many, alone, lone_docs, held, n
+        m = np.concatenate([alone, *(b.column(0).to_numpy() for b in held)])
+        doc = np.concatenate([lone_docs, *(b.column(1).to_numpy() for b in held)])
+        held, n = [], 0
+        order = np.argsort(m)
+        m, doc = m[order], doc[order]
         starts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-        low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
-        many = low != high
-        if last is not None and m[0] == last:
-            many[0] |= two or bool(low[0] != seen) or bool(high[0] != seen)
-            if many[0]:
-                yield from held
-                held = []
-        else:
-            held = []
-        sizes = np.diff(np.append(starts, len(m)))
-        keep = np.repeat(many, sizes)
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-        if m[-1] != last:
-            held = []
-        last, two, seen = m[-1], bool(many[-1]), doc[-1]
-        if not two:  # one document so far: a document has a key once, rows repeated aside
-            held = [*held, batch.slice(int(starts[-1]))][:64]
+        keys, sizes = m[starts], np.diff(np.append(starts, len(m)))
+        two = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
+        if len(many):
+            two |= many[np.minimum(np.searchsorted(many, keys), len(many) - 1)] == keys
+        alone, lone_docs = keys[~two], doc[starts[~two]]
+        many = np.union1d(many, keys[two])
+        keep = np.repeat(two, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(m[keep]), pa.array(doc[keep])], ["m", "doc"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= CHUNK:
+            yield flush()
+    if n:
+        yield flush()
 
 
 def _lists(column: pa.ListArray) -> Iterator[slice]:
@@ -307,17 +312,17 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     repeated = df.groupBy(F.col(id_col).alias("_rid")).count().where("count > 1").limit(1).count() > 0
     docs = docs.withColumn("row", F.xxhash64("_text") if repeated else F.lit(0).cast("long"))
     long = docs.where(F.octet_length("_text") >= WINDOW).select("doc", "row", "_text")
-    occurring = long.select("doc", "_text").mapInArrow(_anchors, "m long, doc long").repartition("m").sortWithinPartitions("m")
-    shared = cut(occurring.mapInArrow(_shared, "m long, doc long"), "anchors", release=True)
+    occurring = long.select("doc", "_text").mapInArrow(_anchors, "m long, doc long").repartition("m")
+    shared = cut(occurring.mapInArrow(_shared, "m long, doc long"), "anchors")
 
     lists = shared.groupBy("doc").agg(F.collect_list("m").alias("ms"))
-    occurrences = cut(long.join(lists, "doc").select("doc", "row", "_text", "ms").mapInArrow(_occurrences, "m long, sid long, doc long, row long, n int, at array<int>"), "occurrences", release=True)
+    occurrences = cut(long.join(lists, "doc").select("doc", "row", "_text", "ms").mapInArrow(_occurrences, "m long, sid long, doc long, row long, n int, at array<int>"), "occurrences")
     discard(shared)
     first_of = occurrences.select("m", "sid", "doc", "row", "n", F.get("at", F.lit(0)).alias("at")).groupBy("m", "sid")
     own_row = F.min_by("row", "doc") if repeated else F.min("row")
-    firsts = cut(first_of.agg(F.min("doc").alias("doc"), own_row.alias("row"), F.min_by("at", "doc").alias("at"), F.max("n").alias("n")), "firsts", release=True)
+    firsts = cut(first_of.agg(F.min("doc").alias("doc"), own_row.alias("row"), F.min_by("at", "doc").alias("at"), F.max("n").alias("n")), "firsts")
     many = firsts.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m", F.lit(True).alias("many"))
-    flagged = cut(firsts.join(many, "m", "left"), "flagged", release=True)
+    flagged = cut(firsts.join(many.hint("shuffle_hash"), "m", "left"), "flagged")
     discard(firsts)
     places = flagged.where("many").groupBy("doc", "row").agg(F.collect_list(F.struct("m", "sid", "at", "n")).alias("places"))
     strings = long.join(places, ["doc", "row"]).select("doc", "_text", "places").mapInArrow(_strings, "m long, sid long, string binary, doc long")
@@ -325,7 +330,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         strings = strings.dropDuplicates(["m", "sid"])
     indexed = strings.repartition("m").sortWithinPartitions("m").mapInArrow(_index, "m long, sid long, low array<long>")
     alone = flagged.where("many is null").select("m", "sid", F.array("doc").alias("low"))
-    windows = cut(alone.union(indexed), "windows", release=True)
+    windows = cut(alone.union(indexed), "windows")
     discard(flagged)
     bits = F.aggregate(
         "low",
@@ -335,14 +340,14 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
     bits = F.when(F.size("low") > 1, bits).when(F.get("low", F.lit(0)) < F.col("doc"), F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
     repeats = (
-        occurrences.join(windows, ["m", "sid"])
+        occurrences.join(windows.hint("shuffle_hash"), ["m", "sid"])
         .select("doc", "row", "n", "at", bits.alias("bits"))
         .where("bits <> 0")
         .select("doc", "row", "n", F.explode("at").alias("at"), "bits")
         .groupBy("doc", "row")
         .agg(F.collect_list(F.struct("at", "n", "bits")).alias("repeats"))
     )
-    repeats = cut(repeats, "repeats", release=True)
+    repeats = cut(repeats, "repeats")
     discard(occurrences, windows)
     none = F.array().cast("array<struct<at:int,n:int,bits:bigint>>")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"
