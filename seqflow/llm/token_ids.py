@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from seqflow.llm.common import scratch
 
-SEGMENT, BLOCK, CACHE, END = 1 << 19, 512, 500_000, 2
+SEGMENT, BLOCK, CACHE, END = 1 << 19, 512, 700_000, 2
 #: ASCII marks that end words.
 MARKS = (b".", b",", b";", b":", b"!", b"?")
 FILES = "part int, seg int, n_ids long, n_docs long, doc_ids array<long>, starts array<long>, levels array<struct<chunks:binary,more:binary,ranks:binary>>"
@@ -97,6 +97,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -108,41 +109,47 @@ class WordEncoder:
 
     def look_up(self, words: set[bytes]) -> None:
         """Bring words to the young generation."""
-        young, old = self.young, self.old
-        stems = {}
+        young, old, packed = self.young, self.old, self.packed
+        fresh, stems = set(), {}
         for w in words:
-            if (v := old.get(w)) is not None:
-                young[w] = v
+            if w in old:
+                young[w] = old[w]
             elif w[-1:] in MARKS and w[-2:-1].isalpha():
-                stems[w] = w[:-1]
+                stems[w] = stem = w[:-1]
+                if stem not in young:
+                    fresh.add(stem)
+                if w[-1:] not in young:
+                    fresh.add(w[-1:])
             else:
-                stems[w] = w
-        new = [w for w in {*stems.values(), *(w[-1:] for w, s in stems.items() if s != w)} if w not in young and w not in old]
-        rest = []
-        for w in new:
-            if (letters := as_letters(w)) is None:
-                rest.append(w)
+                fresh.add(w)
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for w in fresh:
+            if w in old:
+                young[w] = old[w]
+            elif w.isalpha():  # ASCII letters, already lower
+                young[w] = b"".join([packed[t.id] for t in tokenize(w.decode())])
+            elif (letters := as_letters(w)) is not None:
+                young[w] = b"".join([packed[t.id] for t in tokenize(letters)])
             else:
-                young[w] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+                rest.append(w)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            young[w] = np.array(e.ids, "<u4").tobytes()
-        for w, s in stems.items():
-            if s != w:
-                young[w] = (young.get(s) or old[s]) + (young.get(w[-1:]) or old[w[-1:]])
-            elif w not in young:
-                young[w] = old[w]
+            young[w] = b"".join([packed[i] for i in e.ids])
+        for w, stem in stems.items():
+            young[w] = young[stem] + young[w[-1:]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words, ends = [], []
         for t in texts:
             words += t.encode().lower().split()
             ends.append(len(words))
-        found = list(map(self.young.get, words))
-        if None in found:
-            holes = [i for i, v in enumerate(found) if v is None]
-            self.look_up({words[i] for i in holes})
+        distinct = list(dict.fromkeys(words))
+        ids = list(map(self.young.get, distinct))
+        if None in ids:
+            holes = [i for i, v in enumerate(ids) if v is None]
+            self.look_up({distinct[i] for i in holes})
             for i in holes:
-                found[i] = self.young[words[i]]
+                ids[i] = self.young[distinct[i]]
+        found = list(map(dict(zip(distinct, ids, strict=True)).__getitem__, words))  # a small dictionary is read faster
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         return [np.frombuffer(b"".join(found[a:b]), "<u4") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
@@ -165,7 +172,7 @@ def write(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: st
             row = {"part": part, "seg": seg, "n_ids": size, "n_docs": len(docs), "doc_ids": docs, "starts": starts.tolist(), "levels": encode(np.concatenate(arrays))}
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+        for batch in (b.slice(i, 128) for b in batches for i in range(0, b.num_rows, 128)):
             encoder = encoder or WordEncoder.of(tokenizer)
             part = batch.column(0)[0].as_py()
             for doc, ids in zip(batch.column(1).to_pylist(), encoder.encode(batch.column(2).to_pylist()), strict=True):
