@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,22 +138,27 @@ class WordEncoder:
         for w, stem in stems.items():
             young[w] = young[stem] + young[w[-1:]]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words, ends = [], []
-        for t in texts:
-            words += t.encode().lower().split()
-            ends.append(len(words))
-        distinct = list(dict.fromkeys(words))
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string())))
+        coded = lists.values.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
         ids = list(map(self.young.get, distinct))
         if None in ids:
             holes = [i for i, v in enumerate(ids) if v is None]
             self.look_up({distinct[i] for i in holes})
             for i in holes:
                 ids[i] = self.young[distinct[i]]
-        found = list(map(dict(zip(distinct, ids, strict=True)).__getitem__, words))  # a small dictionary is read faster
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
-        return [np.frombuffer(b"".join(found[a:b]), "<u4") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        # each word's ids, gathered by the words' numbers
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        words = coded.indices.to_numpy()
+        n = sizes[words]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        out = flat[np.repeat(starts[words] - ends[:-1], n) + np.arange(ends[-1])]
+        return np.split(out, ends[lists.offsets.to_numpy()[1:-1]])
 
 
 def write(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END, parts: int | None = None) -> str:
@@ -172,10 +178,10 @@ def write(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: st
             row = {"part": part, "seg": seg, "n_ids": size, "n_docs": len(docs), "doc_ids": docs, "starts": starts.tolist(), "levels": encode(np.concatenate(arrays))}
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in (b.slice(i, 128) for b in batches for i in range(0, b.num_rows, 128)):
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             encoder = encoder or WordEncoder.of(tokenizer)
             part = batch.column(0)[0].as_py()
-            for doc, ids in zip(batch.column(1).to_pylist(), encoder.encode(batch.column(2).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(1).to_pylist(), encoder.encode(batch.column(2)), strict=True):
                 ids = np.append(ids, np.uint32(end))
                 if arrays and size + len(ids) > SEGMENT:
                     yield segment()
