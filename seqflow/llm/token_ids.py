@@ -13,6 +13,7 @@ their text; repeated rows are documents each; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import unicodedata
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from seqflow.llm.common import scratch
 
-SEGMENT, BLOCK, CACHE, END = 1 << 19, 512, 700_000, 2
+SEGMENT, BLOCK, CACHE, END = 1 << 19, 512, 1_000_000, 2
 #: ASCII marks that end words.
 MARKS = (b".", b",", b";", b":", b"!", b"?")
 FILES = "part int, seg int, n_ids long, n_docs long, doc_ids array<long>, starts array<long>, levels array<struct<chunks:binary,more:binary,ranks:binary>>"
@@ -139,6 +140,16 @@ class WordEncoder:
             young[w] = young[stem] + young[w[-1:]]
 
     def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """The ids of each text. Nothing here makes cycles, so the collector need not walk the dictionaries."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string())))
         coded = lists.values.dictionary_encode()
