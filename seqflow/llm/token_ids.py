@@ -151,9 +151,9 @@ class WordEncoder:
 
     def _encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string())))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column))  # no cast before: of a slice it would be read amiss
         coded = lists.values.dictionary_encode()
-        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         ids = list(map(self.young.get, distinct))
         if None in ids:
             holes = [i for i, v in enumerate(ids) if v is None]

@@ -179,6 +179,16 @@ def test_words_alone_have_the_ids_of_the_text(tokenizer):
         assert encoder.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_slices_of_a_batch_are_read_right(tokenizer):
+    import pyarrow as pa
+
+    texts = [f"Text {i}, é{'à' * (i % 3)} ends. " * (i % 4) for i in range(60)]
+    encoder = token_ids.WordEncoder(tokenizer)
+    whole, column = encoder.encode(texts), pa.array(texts)
+    for a in range(0, 60, 7):
+        assert [x.tolist() for x in encoder.encode(column.slice(a, 7))] == [x.tolist() for x in whole[a : a + 7]]
+
+
 def test_codes_give_any_id_without_decoding():
     rng = np.random.default_rng(1)
     for top in (1, 200, 256, 70_000, 1 << 32):
