@@ -1,6 +1,8 @@
 """A query for each operator over the driver's tables, beside its SQL.
 
-The sequence S is `events` ordered by event_id: v is value, k the number in props. Queries run over whole tables.
+The sequence S is `events` ordered by event_id: v is value, k the number in props. Queries run over whole tables, but
+for bfs_levels and bfs_shortest_path: their SQL takes only edges whose ends agree modulo 7. The queries over all edges
+are bfs_levels_whole and bfs_shortest_path_whole.
 """
 
 from __future__ import annotations
@@ -622,6 +624,23 @@ def bfs_shortest_path(spark, d):
     return graphs.shortest_path(_edges(spark, d), 0, 93, unreachable=0)
 
 
+_ALL_EDGES = "with recursive e as (select distinct user_id as src, cast(json_extract_string(props, '$.k') as bigint) as dst from events where user_id is not null and json_extract_string(props, '$.k') is not null), r(node, level) using key (node) as (select 0::bigint, 0 union select e.dst, min(level) + 1 from r join e on r.node = e.src where e.dst not in (select node from recurring.r) group by e.dst) "
+
+
+def _all_edges(spark, d):
+    return rows(spark, d).where("user_id is not null and k is not null").select(F.col("user_id").alias("src"), F.col("k").alias("dst")).distinct()
+
+
+@query(_ALL_EDGES + "select node, level from r")
+def bfs_levels_whole(spark, d):
+    return graphs.bfs(_all_edges(spark, d), 0)
+
+
+@query(_ALL_EDGES + "select coalesce(min(level), 0) as length from r where node = 93")
+def bfs_shortest_path_whole(spark, d):
+    return graphs.shortest_path(_all_edges(spark, d), 0, 93, unreachable=0)
+
+
 @query(S + "select pos, pos % 192 // 16 as part, pos // 192 as block, pos % 16 as place, pos as back from s")
 def block_cyclic_1d(spark, d):
     part, block, place = arrays.block_cyclic(F.col("pos"), 16, 12)

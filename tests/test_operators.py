@@ -8,7 +8,7 @@ from seqflow.functions import scalars
 from seqflow.functions.reductions import Reducer, reduce_with, reduction
 from seqflow.operators import arrays, graphs, multisets, search, searches, statistics, traces
 from seqflow.operators.sequence import Sequence, zip_sequences
-from seqflow.plans import dag
+from seqflow.plans import dag, queries
 from seqflow.sources import traces as trace_io
 
 
@@ -132,6 +132,18 @@ def test_breadth_first(spark):
     assert one(graphs.shortest_path(edges, 0, 8, unreachable=0)) == 0
 
 
+def test_breadth_first_takes_all_edges_of_the_events(spark, tmp_path):
+    """A path longer than 12 edges between numbers that differ modulo 7."""
+    path = [0, *range(80, 94)]
+    pairs = [*zip(path, path[1:], strict=False), (93, 0), (5, 6), (None, 80), (80, None)]
+    start = pd.Timestamp("2024-01-01")
+    events = [(i, (start + pd.Timedelta(seconds=i)).to_pydatetime(), a, "view", 1.0, "{}" if b is None else f'{{"k": {b}}}') for i, (a, b) in enumerate(pairs)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.node: r.level for r in queries.QUERIES["bfs_levels_whole"](spark, str(tmp_path)).collect()}
+    assert got == {x: i for i, x in enumerate(path)}
+    assert one(queries.QUERIES["bfs_shortest_path_whole"](spark, str(tmp_path))) == 14
+
+
 def test_list_rank(spark):
     order = [4, 2, 9, 1, 7]
     nodes = spark.createDataFrame([(a, b) for a, b in zip(order, [*order[1:], None], strict=True)], "id long, next long")
