@@ -32,6 +32,8 @@ from seqflow.llm.common import scratch
 SEGMENT, BLOCK, CACHE, END = 1 << 19, 512, 700_000, 2
 #: ASCII marks that end words.
 MARKS = (b".", b",", b";", b":", b"!", b"?")
+#: How the special tokens begin.
+SPECIAL = "<|"
 FILES = "part int, seg int, n_ids long, n_docs long, doc_ids array<long>, starts array<long>, levels array<struct<chunks:binary,more:binary,ranks:binary>>"
 
 
@@ -92,7 +94,8 @@ class WordEncoder:
 
     The tokenizer parts text at white space and drops it, and no normal form or merge reaches across it, so the ids of
     a text are those of its parts between ASCII white space, one after another. It lower-cases, so A-Z may be lower
-    from the start; and it parts letters from what is no letter, so an ASCII mark behind an ASCII letter stands alone.
+    from the start, but for words that hold SPECIAL: it finds its special tokens in the text as written. And it parts
+    letters from what is no letter, so an ASCII mark behind an ASCII letter stands alone.
     """
 
     def __init__(self, path: str):
@@ -151,8 +154,12 @@ class WordEncoder:
 
     def _encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(column))  # no cast before: of a slice it would be read amiss
-        coded = lists.values.dictionary_encode()
+        special = pc.any(pc.match_substring(column, SPECIAL)).as_py()
+        lists = pc.ascii_split_whitespace(column if special else pc.ascii_lower(column))  # no cast before: of a slice it would be read amiss
+        split = lists.values
+        if special:
+            split = pc.if_else(pc.match_substring(split, SPECIAL), split, pc.ascii_lower(split))
+        coded = split.dictionary_encode()
         distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         ids = list(map(self.young.get, distinct))
         if None in ids:

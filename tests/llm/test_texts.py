@@ -179,6 +179,18 @@ def test_words_alone_have_the_ids_of_the_text(tokenizer):
         assert encoder.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_special_tokens_count_only_as_written(tokenizer):
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(tokenizer), random.Random(5)
+    names = ["<|endoftext|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|StartOfText|>", "<|EndOf", "<|"]
+    texts = ["a <|EndOfText|> b", *("".join(rng.choice([*names, "Word", "A.", "É", ","]) + rng.choice(["", " "]) for _ in range(8)) for _ in range(200)), "Plain Words."]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    encoder = token_ids.WordEncoder(tokenizer)
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert [encoder.encode([x])[0].tolist() for x in texts] == want
+
+
 def test_slices_of_a_batch_are_read_right(tokenizer):
     import pyarrow as pa
 
