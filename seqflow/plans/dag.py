@@ -56,6 +56,7 @@ def critical_path(tasks: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
     """task_id, date: 0 at sinks, else one more than the greatest of the successors. By levels from the sinks.
 
     A round fixes the tasks whose successors all have dates; each round reads the last one's table, so plans stay short.
+    Tasks that get no date, as on a cycle or on a path longer than max_rounds, are an error.
     """
     left = cut(edges.groupBy("src").agg(F.count("*").alias("_open")), "open")
     done = cut(tasks.join(left, F.col("task_id") == F.col("src"), "left_anti").select("task_id", F.lit(0).alias("date")), "dates")
@@ -68,6 +69,8 @@ def critical_path(tasks: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
             break
         left = left.where("_open > 0")
         out.append(frontier)
+    if left.limit(1).count() > 0:
+        raise RuntimeError(f"tasks are left without a date: the graph has a cycle, a path of {max_rounds} edges or more, or an edge to no task")
     result = out[0]
     for f in out[1:]:
         result = result.union(f)

@@ -166,6 +166,16 @@ def test_critical_path(spark):
     assert {r.task_id: r.date for r in dag.critical_path(tasks, edges).collect()} == {0: 0, 1: 3, 2: 2, 3: 1, 4: 0}
 
 
+def test_critical_path_leaves_no_task_out(spark):
+    tasks = spark.createDataFrame([(i,) for i in range(4)], "task_id long")
+    chain = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "src long, dst long")
+    assert {r.task_id: r.date for r in dag.critical_path(tasks, chain, max_rounds=4).collect()} == {0: 3, 1: 2, 2: 1, 3: 0}
+    with pytest.raises(RuntimeError, match="without a date"):
+        dag.critical_path(tasks, chain, max_rounds=3)
+    with pytest.raises(RuntimeError, match="without a date"):
+        dag.critical_path(tasks, spark.createDataFrame([(0, 1), (1, 2), (2, 1), (1, 3)], "src long, dst long"))
+
+
 def test_matrices(spark):
     m = spark.createDataFrame([(0, 0, 4.0), (0, 1, 2.0), (1, 0, 2.0), (1, 1, 5.0)], "i long, j long, v double")
     low = {(r.i, r.j): r.v for r in arrays.factor(m).collect()}
