@@ -244,3 +244,24 @@ def read(spark, path: str) -> DataFrame:
     decoded = files.select("part", "seg", "n_ids", "doc_ids", "starts", "levels").mapInArrow(run, "part int, seg int, doc_id long, at long, n_tokens long, ids_crc32 long")
     joined = decoded.join(places, (F.col("part") == F.col("_p")) & (F.col("seg") == F.col("_s")))
     return joined.select("doc_id", (F.col("_first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def tokens_at(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, i, token of each row (doc_id, i) of wanted, read by its place in the files; no row for places that a document lacks.
+
+    files: the table that write() made. A place is given for each document of an id.
+    """
+    docs = files.select("part", "seg", "n_ids", "starts", F.posexplode("doc_ids").alias("_k", "_doc"))
+    first, after = F.get("starts", F.col("_k")), F.coalesce(F.get("starts", F.col("_k") + 1), F.col("n_ids"))
+    spans = docs.select("part", "seg", "_doc", first.alias("_from"), (after - first).alias("_n"))
+    met = spans.join(wanted.select("doc_id", F.col("i").cast("long").alias("i")), F.col("_doc").eqNullSafe(F.col("doc_id"))).where("i >= 0 and i < _n")
+    places = met.groupBy("part", "seg").agg(F.collect_list(F.struct("doc_id", "i", (F.col("_from") + F.col("i")).alias("at"))).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for levels, asked in zip(batch.column(0), batch.column(1), strict=True):
+                codes, asked = Codes(levels.as_py()), asked.as_py()
+                columns = [x["doc_id"] for x in asked], [x["i"] for x in asked], [codes[x["at"]] for x in asked]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "i", "token"])
+
+    return files.join(places, ["part", "seg"]).select("levels", "places").mapInArrow(run, "doc_id long, i long, token long")

@@ -201,6 +201,24 @@ def test_slices_of_a_batch_are_read_right(tokenizer):
         assert [x.tolist() for x in encoder.encode(column.slice(a, 7))] == [x.tolist() for x in whole[a : a + 7]]
 
 
+def test_tokens_are_read_by_place_from_the_files(spark, documents, texts, tokenizer, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_ids, "SEGMENT", 5000)
+    monkeypatch.setattr(token_ids.Codes, "all", None)  # nothing is decoded whole
+    files = spark.read.schema(token_ids.FILES).parquet(token_ids.write(documents, tokenizer, parts=3))
+    t, want, asked = Tokenizer.from_file(tokenizer), Counter(), []
+    for d, text in texts.items():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        for i in {0, len(ids) // 2, len(ids) - 1}:
+            want[d, i, ids[i]] += 1
+            asked.append((d, i))
+        asked += [(d, -1), (d, len(ids))]
+    got = token_ids.tokens_at(files, spark.createDataFrame(asked, "doc_id long, i long")).collect()
+    assert files.count() > 3
+    assert Counter(map(tuple, got)) == want
+
+
 def test_codes_give_any_id_without_decoding():
     rng = np.random.default_rng(1)
     for top in (1, 200, 256, 70_000, 1 << 32):
