@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqflow.llm.common import cut
+from seqflow.llm.common import cut, fresh
 
 WORDS, THRESHOLD = 5, 0.8
 #: Rows of sketches (16 bytes each) up to which they are broadcast; beyond it they are joined by a shuffle.
@@ -105,6 +105,7 @@ def contained(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs that contain no benchmark item, all columns."""
-    leaks = contained(docs, benchmark, id_col=id_col, text_col=text_col, **kw).select(F.col("doc_id").alias("_leak"), F.col("_h").alias("_leak_h")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_leak")) & (F.xxhash64(F.col(text_col)) == F.col("_leak_h"))
+    leak_id, leak_h = fresh(docs, "leak_id", "leak_h")
+    leaks = contained(docs, benchmark, id_col=id_col, text_col=text_col, **kw).select(F.col("doc_id").alias(leak_id), F.col("_h").alias(leak_h)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(leak_id)) & (F.xxhash64(F.col(text_col)) == F.col(leak_h))
     return docs.join(cut(leaks, "leaks"), same, "left_anti")

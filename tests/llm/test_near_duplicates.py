@@ -83,14 +83,85 @@ def test_components_of_long_paths(spark):
     assert got[1000] == got[1001] != got[0]
 
 
-def test_one_row_of_each_group_stays(awkward):
-    kept = simhash.deduplicate(awkward)
-    assert kept.columns == awkward.columns
+def brute_second(text, n, bits):
+    """Prints of distinct shingles: of two words, and of five words in 256 bits."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), 42) for i in range(max(1, len(words) - n + 1))}
+    out = 0
+    for k in range(bits // 64):
+        hs = [int(h) for h in (simhash.mixed(np.array(sorted(own), np.uint64), k) if bits > 64 else sorted(own))]
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) << (64 * k)
+    return out
+
+
+def brute_groups(docs):
+    """docs: id, text. Least ids of the groups of all links of the rule, and of those that the grids find for certain."""
+    prints = [(d, brute_second(t, 2, 64), brute_second(t, 5, 256)) for d, t in docs]
+
+    def groups(most):
+        parent = {d: d for d, *_ in prints}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, (d, p, q) in enumerate(prints):
+            for e, r, s in prints[:i]:
+                if (p ^ r).bit_count() <= most and (q ^ s).bit_count() <= 47:
+                    a, b = sorted((find(d), find(e)))
+                    parent[b] = a
+        return {find(d) for d, *_ in prints}
+
+    return groups(8), groups(5)
+
+
+def test_rule_of_similar_texts(documents, texts):
+    """All links of up to 5 bits are found, none beyond 8, and most pairs of similarity 0.8 or more."""
+    found, sure = brute_groups(list(texts.items()))
+    left = {r.doc_id for r in simhash.deduplicate(documents).collect()}
+    assert found <= left <= sure
+    sets = {d: shingles_of(t) for d, t in texts.items()}
+    ids = sorted(d for d in sets if sets[d])
+    classes = {r.doc_id: r._class for r in simhash.simhash(documents, rule=simhash.SIMILAR).collect()}
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert all(classes[a] == classes[b] for a in ids for b in ids if sets[a] == sets[b])
+    assert sum(classes[a] == classes[b] for a, b in pairs) >= 0.8 * len(pairs)
+
+
+def shingles_of(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("rule", [simhash.CONTRACT, simhash.SIMILAR])
+def test_one_row_of_each_group_stays(awkward, rule):
+    clashing = awkward.withColumnRenamed("_h", "_kept_id").withColumnRenamed("size", "_row_h")
+    kept = simhash.deduplicate(clashing, rule=rule)
+    assert kept.columns == clashing.columns
+    assert {r._row_h for r in kept.collect()} == {"clash"}
     left = [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()]
-    found = simhash.simhash(awkward).collect()
+    found = simhash.simhash(awkward, rule=rule).collect()
     assert len(left) == len({r._class for r in found}) and sum(d is None for d, _ in left) == 2
-    apart = brute_components([(k, brute_print(t)) for k, (_, t) in enumerate(left)])
-    assert len(set(apart)) == len(left)
+    if rule == simhash.CONTRACT:
+        apart = brute_components([(k, brute_print(t)) for k, (_, t) in enumerate(left)])
+        assert len(set(apart)) == len(left)
+
+
+def test_many_near_copies_are_dealt_out(spark, monkeypatch):
+    """One large group whose cells are compared in blocks."""
+    monkeypatch.setattr(simhash, "CELL", 16)
+    rng = np.random.default_rng(8)
+    base = [f"word{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        w[int(rng.integers(0, 120))] = f"other{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame([*rows, (500, "something else that has nothing to do with the others")], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == {0, 500}
 
 
 def words(t):
