@@ -6,8 +6,9 @@ its Newton steps are aggregates over (source, size) cells, never over a source's
 DataFrame functions only.
 
 Defined results: a null or empty text has size 0 and takes 0; null is a source of its own, the last one; null and
-repeated ids and repeated rows are documents like any other; an empty table gives an empty result; other columns are
-ignored.
+repeated ids and repeated rows are documents like any other; among rows of one source and size a hash of their ids and
+texts says which get the odd copy; an empty table gives an empty result; other columns are ignored, or kept whatever
+their names.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqflow.llm.common import WORD, cut
+from seqflow.llm.common import WORD, cut, named
 
-#: Documented parameters of the solver: relative error of a source's tokens, most Newton steps, repair rounds.
-TOLERANCE, MAX_STEPS, REPAIRS = 1e-7, 60, 5
+#: Documented parameters of the solver: relative error of a source's tokens, most Newton steps (beyond it an error is
+#: raised), steps in one statement, repair rounds.
+TOLERANCE, MAX_STEPS, FUSED, REPAIRS = 1e-7, 90, 3, 5
 
 
 def targets(cells: DataFrame, cap: float) -> DataFrame:
@@ -61,35 +63,42 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
         .withColumn("_done", F.col("_full")),
         "mix-state",
     )
-    for _ in range(MAX_STEPS):
+    for _ in range(0, MAX_STEPS, FUSED):
         if state.where("not _done").limit(1).count() == 0:
-            break
-        r, x, n = rate(cap), F.col("_x"), F.col("_n")
-        sums = (
-            cells.join(state.where("not _done").select("_s", "_lambda", "_mean", "_full"), "_s")
-            .groupBy("_s")
-            .agg(F.sum(n * x * r).alias("_got"), F.sum(F.when(r < cap, n * x * x / F.col("_mean") * r).otherwise(0.0)).alias("_slope"))
-        )
-        over = F.col("_got") - F.col("target")
-        moved = state.join(sums, "_s", "left")
-        moved = moved.withColumn("_lo", F.when(over < 0, F.col("_lambda")).otherwise(F.col("_lo"))).withColumn(
-            "_hi", F.when(over > 0, F.col("_lambda")).otherwise(F.col("_hi"))
-        )
-        moved = moved.withColumn("_next", F.when(F.col("_slope") > 0, F.col("_lambda") - F.try_divide(over, F.col("_slope"))))
-        bisect = (F.col("_lo") + F.col("_hi")) / 2
-        keep = F.col("_done") | (F.abs(over) <= F.col("target") * TOLERANCE)
-        good = (F.col("_next") > F.col("_lo")) & (F.col("_next") < F.col("_hi"))
-        state = cut(
-            moved.select(
-                "_s", "source_size", "target", "_mean", "_full",
-                F.when(keep, F.col("_lambda")).when(good, F.col("_next")).otherwise(bisect).alias("_lambda"),
-                "_lo", "_hi", F.coalesce(keep, F.lit(False)).alias("_done"),
-            ),
-            "mix-state",
-        )
+            return state
+        for _ in range(FUSED):
+            state = step(cells, state, cap)
+        state = cut(state, "mix-state")
+    if state.where("not _done").limit(1).count():
+        raise RuntimeError(f"sources without a solution after {MAX_STEPS} steps")
     return state
 
 
+def step(cells: DataFrame, state: DataFrame, cap: float) -> DataFrame:
+    """A Newton step for each source that is not done; a bisection where it would leave the bracket."""
+    r, x, n = rate(cap), F.col("_x"), F.col("_n")
+    sums = (
+        cells.join(state.where("not _done").select("_s", "_lambda", "_mean", "_full"), "_s")
+        .groupBy("_s")
+        .agg(F.sum(n * x * r).alias("_got"), F.sum(F.when(r < cap, n * x * x / F.col("_mean") * r).otherwise(0.0)).alias("_slope"))
+    )
+    over = F.col("_got") - F.col("target")
+    moved = state.join(sums, "_s", "left")
+    moved = moved.withColumn("_lo", F.when(over < 0, F.col("_lambda")).otherwise(F.col("_lo"))).withColumn(
+        "_hi", F.when(over > 0, F.col("_lambda")).otherwise(F.col("_hi"))
+    )
+    moved = moved.withColumn("_next", F.when(F.col("_slope") > 0, F.col("_lambda") - F.try_divide(over, F.col("_slope"))))
+    bisect = (F.col("_lo") + F.col("_hi")) / 2
+    tight = F.col("_hi") - F.col("_lo") <= F.col("_mean") * 1e-12  # no double lies between: as near as it gets
+    keep = F.col("_done") | (F.abs(over) <= F.col("target") * TOLERANCE) | tight
+    good = (F.col("_next") > F.col("_lo")) & (F.col("_next") < F.col("_hi"))
+    return moved.select(
+        "_s", "source_size", "target", "_mean", "_full",
+        F.when(keep, F.col("_lambda")).when(good, F.col("_next")).otherwise(bisect).alias("_lambda"),
+        "_lo", "_hi", F.coalesce(keep, F.lit(False)).alias("_done"),
+    )
+
+
 def rounded(cells: DataFrame, state: DataFrame, cap: int) -> DataFrame:
     """cells with _k, the copies of the documents of a cell together.
 
@@ -123,13 +132,14 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     """doc_id, size, source_size, target, copies, taken = copies * size for each row of df, and its columns in keep.
 
     size: words of the text. No document is copied more than cap times. Which documents of one source and size get
-    the odd copy depends on a hash of their ids.
+    the odd copy depends on a hash of their ids and texts.
     """
     keys = df.select(
         F.col(id_col).cast("long").alias("_id"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_s"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_x"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        F.xxhash64(id_col, text_col).alias("_h"),
+        *[named(c).alias(f"_keep_{c}") for c in keep],
     )
     lean = keys if keep else cut(keys, "mix-keys")
     cells = cut(lean.groupBy("_s", "_x").agg(F.count("*").alias("_n")), "mix-cells")
@@ -139,7 +149,7 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     # a rank of each document in its cell, by parts so that no cell meets in one task
     rows = cells.agg(F.sum("_n")).first()[0] or 0
     n_parts = max(1, math.isqrt(rows))
-    part = F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(n_parts)).cast("int")
+    part = F.pmod(F.xxhash64("_h", F.lit("part")), F.lit(n_parts)).cast("int")
     parted = keys if keep else lean
     parted = parted.withColumn("_part", part)
     earlier = Window.partitionBy("_s", "_x").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,8 +160,9 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
         .withColumn("_from", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
         .join(copies, ["_s", "_x"])
     )
-    own = Window.partitionBy("_s", "_x", "_part").orderBy(F.xxhash64("_id", F.lit("rank")), "_id")
-    ranked = parted.withColumn("_rn", F.row_number().over(own)).join(parts, ["_s", "_x", "_part"])
+    own = Window.partitionBy("_s", "_x", "_part").orderBy(F.xxhash64("_h", F.lit("rank")), "_h", *[F.xxhash64(named(f"_keep_{c}")) for c in keep if "map<" not in df.schema[c].dataType.simpleString()])
+    # there are as many parts as the root of the rows for each cell: merged, never broadcast
+    ranked = parted.withColumn("_rn", F.row_number().over(own)).join(parts.hint("merge"), ["_s", "_x", "_part"])
     n_copies = F.expr("_k div _n") + F.when(F.col("_from") + F.col("_rn") <= F.col("_k") % F.col("_n"), 1).otherwise(0)
     return ranked.select(
         F.col("_id").alias("doc_id"),
@@ -160,5 +171,5 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
         "target",
         n_copies.alias("copies"),
         (n_copies * F.col("_x")).alias("taken"),
-        *[F.col(f"_keep_{c}").alias(f"keep_{c}") for c in keep],
+        *[named(f"_keep_{c}").alias(f"keep_{c}") for c in keep],
     )
