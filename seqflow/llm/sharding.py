@@ -3,8 +3,8 @@
 The key of a record is a 64-bit hash of its text, so equal texts are neighbours. Main path: DataFrame functions only.
 
 Defined results: a null text has 0 bytes and the checksum of the empty text; null ids, repeated ids and repeated rows
-are records like any other; an empty table gives an empty result; other columns of the input are ignored whatever
-their names. A record larger than a shard's share is placed whole.
+are records like any other; an empty table gives an empty result; other columns of the input are ignored, or kept,
+whatever their names. A record larger than a shard's share is placed whole.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqflow.llm.common import cut, uniform
+from seqflow.llm.common import cut, named, uniform
 
 #: Bounds of what the driver holds: splitters, and samples (8 bytes each).
 MAX_RANGES, SAMPLES_PER_RANGE = 8192, 16
@@ -64,11 +64,12 @@ def shard(
     overhead: int = 16,
     range_bytes: int = 64 << 20,
     group_share: float = 0.01,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """A shard and a gapless slot in it for each row, by law "bytes": the shards' sizes are near equal.
 
     size: UTF-8 bytes of the text plus overhead. A group of equal texts stays in one shard unless it is larger than
-    group_share of a shard. Shards differ by that share and one record at most.
+    group_share of a shard. Shards differ by that share and one record at most. Columns in keep follow as keep_<name>.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = cut(
@@ -77,12 +78,16 @@ def shard(
             (F.octet_length(text).cast("long") + overhead).alias("_size"),
             F.crc32(text.cast("binary")).alias("_crc"),
             F.xxhash64(text).alias("_h"),
+            # where there is no id, the row's place in this table, which is written: a group without ids can be parted
+            F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("_place_of_null"),
+            *[named(c).alias(f"keep_{c}") for c in keep],
         ),
         "shard-keys",
     )
+    kept = [f"keep_{c}" for c in keep]
     total = keys.agg(F.sum("_size")).first()[0]
     if not total:
-        return df.sparkSession.createDataFrame([], SCHEMA)
+        return df.sparkSession.createDataFrame([], SCHEMA + "".join(f", `keep_{c}` {df.schema[c].dataType.simpleString()}" for c in keep))
     n_ranges = min(MAX_RANGES, max(4 * n_shards, math.ceil(total / range_bytes)))
     drawn = splitters(keys, n_ranges, total)
     bounds = sorted(set(drawn))
@@ -101,7 +106,7 @@ def shard(
     ranged = ranged.withColumn(
         "_sub",
         F.pmod(
-            F.when(F.col("_heavy"), F.xxhash64("_id", F.lit("part"))).otherwise(F.xxhash64("_h", F.lit("part"))),
+            F.when(F.col("_heavy"), F.xxhash64("_id", "_place_of_null", F.lit("part"))).otherwise(F.xxhash64("_h", F.lit("part"))),
             F.get(F.lit(parts), F.col("_range")),
         ).cast("int"),
     )
@@ -128,6 +133,7 @@ def shard(
         .selectExpr(
             "_id", "_size", "_crc", "_range", "_sub", "_rn",
             f"least(cast(floor(_place / {total}D * {n_shards}) as int), {n_shards - 1}) as _shard",
+            *[f"`{c.replace('`', '``')}`" for c in kept],
         ),
         "shard-placed",
     )
@@ -146,4 +152,5 @@ def shard(
         F.col("_shard").alias("shard"),
         (F.col("_slots") + F.col("_rn") - F.col("_first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        *map(named, kept),
     )
