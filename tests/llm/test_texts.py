@@ -53,15 +53,74 @@ def test_languages_held_out(documents):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
-def test_backoff_goes_to_shorter_grams():
-    none = langid.PENALTY
-    model = {"langs": ["a", "b"], "words": {"known": (1.0, none)}, "grams": {"<xy": (2.0, none), "z": (none, 3.0)}}
-    s = langid.Scorer(model)
-    assert s.predict("known")[0] == "a"
-    assert s.backoff("xyq").argmin() == 0
-    assert s.backoff("qqz").argmin() == 1
-    assert s.backoff("qqq").tolist() == [none, none]
-    assert s.predict("123 !?") == ("und", 0.0) and s.predict(None) == ("und", 0.0)
+def brute_languages(rows):
+    """rows: id, text, lang. Counts, frequencies and scores in plain dictionaries; returns a function of a text."""
+    import re
+    from math import exp, log, log10, sqrt
+
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower()) or [t.lower()]
+    grams = lambda w, k: [f"<{w}>"[i : i + k] for i in range(len(w) + 3 - k)]
+    words, parts = defaultdict(Counter), defaultdict(Counter)
+    for d, text, lang in rows:
+        if d is not None and text is not None and lang is not None and zlib.crc32(str(d).encode()) % 5 and any(c.isalpha() for c in text):
+            for w in split(text):
+                words[lang][w] += 1
+                for k in range(1, 6):
+                    parts[lang, k].update(grams(w, k))
+    langs = sorted(words)
+
+    def score(counter, key):
+        return log10(sum(counter.values()) / counter[key]) if counter[key] else 7.0
+
+    def of_word(w):
+        if any(words[x][w] for x in langs):
+            return [score(words[x], w) for x in langs]
+        for k in range(5, 0, -1):
+            own = grams(w, k)
+            if any(parts[x, k][g] for x in langs for g in own):
+                return [sum(score(parts[x, k], g) if any(parts[y, k][g] for y in langs) else 7.0 for g in own) / len(own) for x in langs]
+        return [7.0] * len(langs)
+
+    def predict(text):
+        if not text or not langs or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        rows = [of_word(w) for w in split(text)]
+        mean = [sum(c) / len(rows) for c in zip(*rows, strict=True)]
+        weight = [exp((min(mean) - m) * log(10) * sqrt(len(rows))) for m in mean]
+        return langs[mean.index(min(mean))], max(weight) / sum(weight)
+
+    return predict
+
+
+def test_languages_by_brute_force(spark, documents):
+    """Every pair of a language and a word or n-gram is in the model, and every score is as plain counting gives it."""
+    few = documents.where("length(text) < 1500 or text is null").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(7001, "½ İstanbul x² ﬁn ß ΑΣ", "tr"), (7002, "İİ ½½", "tr"), (7003, "ªº zz" * 9, None)], few.schema)
+    rows = few.union(odd)
+    source = [tuple(r) for r in rows.collect()]
+    predict = brute_languages(source)
+    got = {r.doc_id: r for r in langid.identify(rows, langid.train(rows)).collect()}
+    assert len(got) == len(source)
+    for d, text, _ in source:
+        lang, score = predict(text)
+        assert (got[d].lang_pred, got[d].score) == (lang, pytest.approx(score, abs=2e-3)), text
+
+
+def test_a_larger_model_than_allowed_is_fitted_to_fewer_rows(documents, monkeypatch):
+    size = lambda m: len(m["words"].scores) + len(m["grams"].scores)
+    whole = size(langid.train(documents))
+    monkeypatch.setattr(langid, "MAX_PAIRS", whole // 3)
+    assert 0 < size(langid.train(documents)) <= whole // 3
+
+
+def test_backoff_goes_to_shorter_grams(monkeypatch):
+    monkeypatch.setattr(langid, "CACHE", 8)
+    table = lambda d: langid.Table.of(*(np.array(c) for c in zip(*[(langid.key_of(w), i, x) for w, xs in d.items() for i, x in enumerate(xs) if x], strict=True)))
+    s = langid.Scorer({"langs": ["a", "b"], "words": table({"known": (1.0, None)}), "grams": table({"<xy": (2.0, None), "z": (None, 3.0)})})
+    assert s.predict(["known"])[0][0] == "a"
+    assert s.backoff(["xyq", "qqz", "qqq"]).argmin(1).tolist() == [0, 1, 0]
+    assert s.backoff(["qqq"]).tolist() == [[langid.PENALTY] * 2]
+    assert s.predict(["123 !?", None, "", "known " * 40, "a b c d e f"])[:3] == [("und", 0.0)] * 3
 
 
 def test_awkward_languages(awkward, nothing, documents):
@@ -294,6 +353,53 @@ def test_toxic_documents_and_offsets(marked):
     assert said == {"grubble", "snark", "mudhead"}
 
 
+def test_toxic_units_by_brute_force(spark, marked):
+    docs, labels = marked
+    rows = [tuple(r) for r in docs.join(labels, "doc_id").selectExpr("text as _text", "toxic > 0 as _y").collect()]
+    contexts = {(y, a.lower(), w.lower(), b.lower()) for t, y in rows for ws in [["", *toxicity.WORDS.findall(t), ""]] for a, w, b in zip(ws, ws[1:], ws[2:], strict=False)}
+    m = Counter(y for y, *_ in contexts)
+    counts = defaultdict(Counter)
+    for y, _, w, _ in contexts:
+        for unit in [(0, w), *((n, w[:n]) for n in toxicity.STARTS if len(w) >= n)]:
+            counts[unit][y] += 1
+    counts = {u: c for u, c in counts.items() if c[True] >= toxicity.SUPPORT}
+    want, n = set(), m[True] + m[False]
+    for u, c in counts.items():
+        a, b = c[True], c[False]
+        table = [(a, (a + b) * m[True] / n), (b, (a + b) * m[False] / n), (m[True] - a, (n - a - b) * m[True] / n), (m[False] - b, (n - a - b) * m[False] / n)]
+        g = sum(2 * o * np.log(o / e) for o, e in table if o)
+        if a * m[False] > b * m[True] * toxicity.LIFT and g >= 2 * np.log(len(counts)) + toxicity.G_BEYOND:
+            want.add(u)
+    got = toxicity.toxic_units(spark.createDataFrame(rows, "_text string, _y boolean"))
+    assert got == want and (0, "grubble") in want
+
+
+def plain_score(text, model):
+    """Forward and backward over one text in plain loops."""
+    ws = toxicity.WORDS.findall(text or "")
+    f = [toxicity.features(w) for w in ws]
+    w = model.weights
+    e = [sum(w[x] for x in f[i][:4]) + model.bias + (w[f[i - 1][4]] if i else 0) + (w[f[i + 1][5]] if i + 1 < len(f) else 0) for i in range(len(f))]
+    up, down = [], [np.ones(2)]
+    for i, x in enumerate(e):
+        v = np.array([1.0, np.exp(x)]) * (up[-1] @ np.exp(model.transition) if i else 1.0)
+        up.append(v / v.sum())
+    for x in reversed(e[1:]):
+        v = np.exp(model.transition) @ (np.array([1.0, np.exp(x)]) * down[-1])
+        down.append(v / v.sum())
+    p = np.array([(a * b)[1] / (a * b).sum() for a, b in zip(up, reversed(down), strict=False)])
+    total = sum(x for x in p if x >= toxicity.NOISE)
+    facts = [1.0, np.log1p(total), max(p), total / len(p)] if len(p) else [1.0, 0, 0, 0]
+    return 1 / (1 + np.exp(-float(np.dot(facts, model.curve))))
+
+
+def test_whole_scores_by_brute_force(documents, texts, spark, sf_dir):
+    model = toxicity.train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    for r in toxicity.score(documents, model).collect():
+        assert r.score == pytest.approx(plain_score(texts[r.doc_id], model), abs=1e-6)
+        assert r.predicted == int(r.score >= 0.5)
+
+
 def test_awkward_toxicity(awkward, nothing, marked):
     docs, labels = marked
     model = toxicity.train(docs, labels)
