@@ -13,7 +13,10 @@ collection that is indexed on its own:
 4. Runs of suffixes with common prefixes of WINDOW or more are the windows with one content; the least document of a
    run is compared with the documents of its strings.
 
-An anchor with one distinct string has nothing to compare and skips 3. No text is ever in one row with another's.
+An anchor with one distinct string skips 3: equality of string hashes decides. So does equality of single windows for
+an anchor with more than BATCH distinct strings, whose collection would be one task's without bound. An anchor that very
+many documents share is dealt out too: of 256 documents two stand for it, the others know already that it is shared.
+No text is ever in one row with another's.
 
 Defined results: a null text is empty; null ids come after all others and are not before one another; equal ids are
 one document's for the comparison; repeated rows give equal results; texts shorter than WINDOW lose nothing; an empty
@@ -36,6 +39,8 @@ from seqflow.llm.common import cut, discard
 WINDOW, K, T = 50, 32, 13
 SPAN = WINDOW - K + 1  # places of an anchor in a window, and windows of a string at most
 BATCH, CHUNK = 2048, 4_000_000
+#: Windows of a text that are looked at at once; documents of 256 that share an anchor from which on a task deals it out.
+PIECE, OFTEN = 1 << 19, 8
 LAST = (1 << 63) - 1
 _U = np.uint64
 #: A 64-bit number for each byte, by rule.
@@ -45,6 +50,25 @@ POWERS = [_U(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(5)]
 MIX, LOCAL = _U(0xBF58476D1CE4E5B9), _U((1 << 20) - 1)
 
 
+def anchors_of(h: list[np.ndarray], start: int, n_windows: int) -> np.ndarray:
+    """The places of the anchors of n_windows windows from start on, fewer than LOCAL. h: hashes of 1, 2, 4, 8, 16 bytes."""
+    n = n_windows + WINDOW - T
+    h0, h2, h3 = (h[k][start:] for k in (0, 2, 3))
+    small = (h3[:n] * POWERS[2] + h2[8 : 8 + n]) * POWERS[0] + h0[12 : 12 + n]  # 8 + 4 + 1 bytes
+    small ^= small >> _U(29)
+    small *= MIX
+    # the upper bits order, the lower ones say where: of equal ones the first counts
+    place = np.arange(n, dtype=_U)
+    least, w = (small & ~LOCAL) | place, 1
+    while w * 2 <= WINDOW - T + 1:
+        least = np.minimum(least[:-w], least[w:])
+        w *= 2
+    rest = WINDOW - T + 1 - w
+    least = np.minimum(least[:n_windows], least[rest : rest + n_windows])
+    ahead = ((least & LOCAL) - place[:n_windows]).astype(np.int64)
+    return start + np.arange(n_windows) + np.where(ahead >= SPAN, ahead - SPAN, ahead)
+
+
 def strings_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """anchor's hash (int64), first window, number of windows of each string of a text."""
     if len(text) < WINDOW:
@@ -54,21 +78,9 @@ def strings_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = [BYTES[np.frombuffer(text, np.uint8)]]
     for k in range(4):
         h.append(h[k][: -(1 << k)] * POWERS[k] + h[k][1 << k :])
-    n = len(text) - T + 1
-    small = (h[3][:n] * POWERS[2] + h[2][8 : 8 + n]) * POWERS[0] + h[0][12 : 12 + n]  # 8 + 4 + 1 bytes
-    small ^= small >> _U(29)
-    small *= MIX
-    # the upper bits order, the lower ones say where: of equal ones the first counts
-    place = np.arange(n, dtype=_U)
-    least, w = (small & ~LOCAL) | (place & LOCAL), 1
-    while w * 2 <= WINDOW - T + 1:
-        least = np.minimum(least[:-w], least[w:])
-        w *= 2
     n_windows = len(text) - WINDOW + 1
-    rest = WINDOW - T + 1 - w
-    least = np.minimum(least[:n_windows], least[rest : rest + n_windows])
-    ahead = ((least - place[:n_windows]) & LOCAL).astype(np.int64)
-    anchor = np.arange(n_windows) + np.where(ahead >= SPAN, ahead - SPAN, ahead)
+    # a window's anchor depends on the window alone, so a long text's windows are taken in pieces whose places fit in LOCAL
+    anchor = np.concatenate([anchors_of(h, a, min(PIECE, n_windows - a)) for a in range(0, n_windows, PIECE)])
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     at = anchor[first]
     m = h[4][at] * POWERS[4] + h[4][at + 16]
@@ -162,17 +174,27 @@ def least_documents(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text to m, doc: the distinct anchors of each text."""
+    """doc, text to m, doc, salt: the distinct anchors of each text. A salt other than 0: the anchor is known to be shared."""
+    often = np.empty(0, np.int64)
     for batch in batches:
         docs = batch.column(0).to_numpy()
         for c in range(0, batch.num_rows, 256):  # the keys of all texts at once would be long
             hs = [np.unique(strings_of(t.as_py())[0]) for t in batch.column(1)[c : c + 256].cast(pa.binary())]
-            doc = np.repeat(docs[c : c + 256], [len(h) for h in hs])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(doc)], ["m", "doc"])
+            m, doc = np.concatenate(hs), np.repeat(docs[c : c + 256], [len(h) for h in hs])
+            order = np.argsort(m, kind="stable")
+            m, doc = m[order], doc[order]
+            starts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1]))) if len(m) else np.empty(0, np.int64)
+            sizes = np.diff(np.append(starts, len(m)))
+            spare = np.arange(len(m)) - np.repeat(starts, sizes) >= 2  # two say that it is shared
+            if len(often):
+                spare |= often[np.minimum(np.searchsorted(often, m), len(often) - 1)] == m
+            often = np.union1d(often, m[starts[sizes >= OFTEN]])
+            salt = np.where(spare, 1 + (np.arange(len(m)) & 0xFFFF), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(doc), pa.array(salt)], ["m", "doc", "salt"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows dealt by m, those whose m has two documents or more, in any order.
+    """Of rows m, doc, salt, dealt by m and salt, those whose m has two documents or more, in any order.
 
     Holds the keys with two documents and one row of each other key, so a frequent key is one entry; CHUNK rows at a time.
     """
@@ -196,6 +218,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(m[keep]), pa.array(doc[keep])], ["m", "doc"])
 
     for batch in batches:
+        sure = batch.column(2).to_numpy() != 0
+        if sure.any():
+            yield batch.filter(pa.array(sure)).select(["m", "doc"])
+            batch = batch.filter(pa.array(~sure))
         if batch.num_rows:
             held.append(batch)
             n += batch.num_rows
@@ -212,7 +238,7 @@ def _lists(column: pa.ListArray) -> Iterator[slice]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, row, text, anchors to m, sid, doc, row, n (windows), at (first windows): the distinct strings of each text at these anchors."""
+    """doc, rk, text, anchors to m, sid, doc, rk, n (windows), at (first windows): the distinct strings of each text at these anchors."""
     for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         texts, flat = batch.column(2).cast(pa.binary()), batch.column(3).values.to_numpy()
         ms, sids, ns, ats, sizes, spans = [], [], [], [], [], []
@@ -231,7 +257,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.concatenate(spans)))), pa.int32()), pa.array(np.concatenate(ats), pa.int32()))
         docs, rows = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
         columns = [pa.array(np.concatenate(ms)), pa.array(np.concatenate(sids)), pa.array(docs), pa.array(rows), pa.array(np.concatenate(ns), pa.int32()), at]
-        yield pa.RecordBatch.from_arrays(columns, ["m", "sid", "doc", "row", "n", "at"])
+        yield pa.RecordBatch.from_arrays(columns, ["m", "sid", "doc", "rk", "n", "at"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +275,18 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(m[whole]), pa.array(sid[whole]), pa.array(cuts, pa.binary()), pa.array(doc)], ["m", "sid", "string", "doc"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """m, sid, string, doc to m, sid, i, window (its hash), doc: each window of each string."""
+    h = xxhash.xxh64_intdigest
+    for batch in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
+        strings = batch.column(2).to_pylist()
+        sizes = [len(s) - WINDOW + 1 for s in strings]
+        window = np.fromiter((h(s[i : i + WINDOW], 50) for s, n in zip(strings, sizes, strict=True) for i in range(n)), _U, sum(sizes)).view(np.int64)
+        i = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        m, sid, doc = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1, 3))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m, sid, i, window, doc)], ["m", "sid", "i", "window", "doc"])
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of strings sorted by m: each string's least documents by window, for whole anchors at a time."""
 
@@ -308,29 +346,41 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), spans (byte offsets of what is removed)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text.alias("_text"))
-    # rows with one id are one document to the comparison, but have their own places: a hash of the text tells them apart
+    # rows are told apart by their id or, where ids repeat, by a hash of id and text; rows that are repeated whole are one
     repeated = df.groupBy(F.col(id_col).alias("_rid")).count().where("count > 1").limit(1).count() > 0
-    docs = docs.withColumn("row", F.xxhash64("_text") if repeated else F.lit(0).cast("long"))
-    long = docs.where(F.octet_length("_text") >= WINDOW).select("doc", "row", "_text")
-    occurring = long.select("doc", "_text").mapInArrow(_anchors, "m long, doc long").repartition("m")
+    docs = docs.withColumn("rk", F.xxhash64("doc", "_text") if repeated else F.col("doc"))
+    long = docs.where(F.octet_length("_text") >= WINDOW).select("doc", "rk", "_text")
+    if repeated:
+        long = long.dropDuplicates(["rk"])
+    occurring = long.select("rk", "_text").mapInArrow(_anchors, "m long, doc long, salt int").repartition("m", "salt")
     shared = cut(occurring.mapInArrow(_shared, "m long, doc long"), "anchors")
 
-    lists = shared.groupBy("doc").agg(F.collect_list("m").alias("ms"))
-    occurrences = cut(long.join(lists, "doc").select("doc", "row", "_text", "ms").mapInArrow(_occurrences, "m long, sid long, doc long, row long, n int, at array<int>"), "occurrences")
+    lists = shared.groupBy(F.col("doc").alias("rk")).agg(F.collect_list("m").alias("ms"))
+    occurrences = cut(long.join(lists, "rk").select("doc", "rk", "_text", "ms").mapInArrow(_occurrences, "m long, sid long, doc long, rk long, n int, at array<int>"), "occurrences")
     discard(shared)
-    first_of = occurrences.select("m", "sid", "doc", "row", "n", F.get("at", F.lit(0)).alias("at")).groupBy("m", "sid")
-    own_row = F.min_by("row", "doc") if repeated else F.min("row")
-    firsts = cut(first_of.agg(F.min("doc").alias("doc"), own_row.alias("row"), F.min_by("at", "doc").alias("at"), F.max("n").alias("n")), "firsts")
-    many = firsts.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m", F.lit(True).alias("many"))
+    first_of = occurrences.select("m", "sid", "doc", "rk", "n", F.get("at", F.lit(0)).alias("at")).groupBy("m", "sid")
+    if repeated:
+        least = first_of.agg(F.min(F.struct("doc", "rk", "at")).alias("x"), F.max("n").alias("n")).select("m", "sid", "x.*", "n")
+    else:
+        least = first_of.agg(F.min("doc").alias("doc"), F.min("rk").alias("rk"), F.min_by("at", "doc").alias("at"), F.max("n").alias("n"))
+    firsts = cut(least, "firsts")
+    many = firsts.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m", (F.col("_n") > BATCH).alias("hot"))
     flagged = cut(firsts.join(many.hint("shuffle_hash"), "m", "left"), "flagged")
     discard(firsts)
-    places = flagged.where("many").groupBy("doc", "row").agg(F.collect_list(F.struct("m", "sid", "at", "n")).alias("places"))
-    strings = long.join(places, ["doc", "row"]).select("doc", "_text", "places").mapInArrow(_strings, "m long, sid long, string binary, doc long")
-    if repeated:  # a row that is repeated whole gives its strings again
-        strings = strings.dropDuplicates(["m", "sid"])
-    indexed = strings.repartition("m").sortWithinPartitions("m").mapInArrow(_index, "m long, sid long, low array<long>")
-    alone = flagged.where("many is null").select("m", "sid", F.array("doc").alias("low"))
-    windows = cut(alone.union(indexed), "windows")
+
+    def strings(chosen: DataFrame) -> DataFrame:
+        places = chosen.groupBy("rk").agg(F.collect_list(F.struct("m", "sid", "at", "n")).alias("places"))
+        return long.join(places, "rk").select("doc", "_text", "places").mapInArrow(_strings, "m long, sid long, string binary, doc long")
+
+    indexed = strings(flagged.where("not hot")).repartition("m").sortWithinPartitions("m").mapInArrow(_index, "m long, sid long, low array<long>")
+    alone = flagged.where("hot is null").select("m", "sid", F.array("doc").alias("low"))
+    windows = alone.union(indexed)
+    if flagged.where("hot").limit(1).count():
+        single = cut(strings(flagged.where("hot")).mapInArrow(_windows, "m long, sid long, i int, window long, doc long"), "single")
+        earliest = single.groupBy("m", "window").agg(F.min("doc").alias("low"))
+        lows = single.drop("doc").join(earliest, ["m", "window"]).groupBy("m", "sid").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("lows"))
+        windows = windows.union(lows.select("m", "sid", F.col("lows.low")))
+    windows = cut(windows, "windows")
     discard(flagged)
     bits = F.aggregate(
         "low",
@@ -341,14 +391,14 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     bits = F.when(F.size("low") > 1, bits).when(F.get("low", F.lit(0)) < F.col("doc"), F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
     repeats = (
         occurrences.join(windows.hint("shuffle_hash"), ["m", "sid"])
-        .select("doc", "row", "n", "at", bits.alias("bits"))
+        .select("rk", "n", "at", bits.alias("bits"))
         .where("bits <> 0")
-        .select("doc", "row", "n", F.explode("at").alias("at"), "bits")
-        .groupBy("doc", "row")
+        .select("rk", "n", F.explode("at").alias("at"), "bits")
+        .groupBy("rk")
         .agg(F.collect_list(F.struct("at", "n", "bits")).alias("repeats"))
     )
     repeats = cut(repeats, "repeats")
     discard(occurrences, windows)
     none = F.array().cast("array<struct<at:int,n:int,bits:bigint>>")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"
-    return docs.join(repeats, ["doc", "row"], "left").select("_id", "_text", F.coalesce("repeats", none)).mapInArrow(_keep, out)
+    return docs.join(repeats, "rk", "left").select("_id", "_text", F.coalesce("repeats", none)).mapInArrow(_keep, out)

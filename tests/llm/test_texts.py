@@ -173,6 +173,41 @@ def test_repeats_overlap_and_nest(spark, monkeypatch):
     assert repeats_of(df) == brute_repeats(docs)
 
 
+def test_anchors_depend_on_the_window_alone(monkeypatch):
+    """Around 2^20 and around the pieces of a long text, periodic passages among them."""
+    rng = random.Random(3)
+    passages = [b"ab" * 40, b"abc" * 30, b"x" * 70, bytes(rng.choices(b"abcdefgh", k=90))]
+    for piece in (1 << 19, 1000):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        for edge in (1 << 20, 3000):
+            for passage in passages:
+                text = bytes(rng.choices(b"abcdefgh ", k=edge - 50)) + passage + bytes(rng.choices(b"abcdefgh ", k=200))
+                m, first, count = suffix_dedup.strings_of(text)
+                of = np.repeat(m, count)
+                assert first.tolist() == np.concatenate(([0], np.cumsum(count)[:-1])).tolist()
+                for w in range(edge - 120, edge + 120):
+                    assert suffix_dedup.strings_of(text[w : w + 50])[0].tolist() == [of[w]]
+
+
+def test_repeats_beyond_a_mebibyte(spark):
+    """A periodic passage that straddles 2^20 bytes in one document and is short elsewhere."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(3):
+        passage = bytes(rng.choices(b"pqrs", k=i + 2)).decode() * 50
+        rows += [(2 * i, passage[:50]), (2 * i + 1, "".join(rng.choices("abcdefgh ", k=(1 << 20) - 25)) + passage[:50] + "".join(rng.choices("ijklm", k=40)))]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (50 * (i % 2), i % 2) for i in range(6)}
+
+
+def test_rows_with_one_id_or_none(spark):
+    """Many rows without an id or with the same one, and rows repeated whole."""
+    passage = "a passage of more than fifty bytes that very many of the rows share with one another; "
+    rows = [(None, passage * (1 + i % 2) + str(i)) for i in range(40)] + [(7, f"{i} " + passage) for i in range(40)] + [(9, passage)] * 20 + [(None, passage)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert repeats_of(df) == brute_repeats(rows)
+
+
 def test_repeats_of_awkward_rows(awkward, nothing):
     assert repeats_of(awkward) == brute_repeats([(r.doc_id, r.text) for r in awkward.collect()])
     assert suffix_dedup.remove_repeats(nothing).count() == 0
