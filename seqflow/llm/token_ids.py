@@ -7,6 +7,9 @@ by its place in level 0 and a rank in each further level: no block is decoded.
 Files: rows of a Parquet table in the shared folder, which Spark commits and every machine reads. A row is a segment:
 whole documents in ascending order of their ids, about SEGMENT ids or one document, with the documents' first places.
 
+Any file of the tokenizers library will do. Its contents travel with the job, so executors need no path. Files with the
+normal form, splits and model named in WORD_FILE are encoded word by word; with any other, whole texts go to the library.
+
 Defined results: a null text has the end id alone; null ids come first; rows with equal ids are ordered by a hash of
 their text; repeated rows are documents each; an empty table gives an empty result; other columns are ignored.
 """
@@ -14,16 +17,18 @@ their text; repeated rows are documents each; an empty table gives an empty resu
 from __future__ import annotations
 
 import gc
+import json
 import sys
 import types
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +39,27 @@ SEGMENT, BLOCK, CACHE, END = 1 << 19, 512, 700_000, 2
 MARKS = (b".", b",", b";", b":", b"!", b"?")
 #: How the special tokens begin.
 SPECIAL = "<|"
+#: What a tokenizer's file must say for its texts to be encoded word by word (fixed values).
+WORD_FILE = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 FILES = "part int, seg int, n_ids long, n_docs long, doc_ids array<long>, starts array<long>, levels array<struct<chunks:binary,more:binary,ranks:binary>>"
 
 
+def read_file(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def encode(ids: np.ndarray) -> list[dict[str, bytes]]:
     """Levels of an array of unsigned 32-bit integers."""
     out, rest = [], ids.astype(np.uint32)
@@ -81,6 +104,17 @@ VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 CHARS = str.maketrans({b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in VISIBLE)})
 
 
+def word_by_word(config: str) -> bool:
+    """Whether what WordEncoder assumes of a tokenizer holds."""
+    said = json.loads(config)
+    model, added = said.get("model") or {}, said.get("added_tokens") or []
+    return (
+        all(said.get(k) == v for k, v in WORD_FILE.items())
+        and (model.get("type"), model.get("dropout"), model.get("continuing_subword_prefix")) == ("BPE", None, None)
+        and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or not t["content"].startswith(SPECIAL) or t["content"].split() != [t["content"]] for t in added)
+    )
+
+
 def as_letters(word: bytes) -> str | None:
     """A word of Latin letters alone as the model's characters, for which the steps before the model do no more; else null."""
     s = word.decode()
@@ -95,22 +129,25 @@ class WordEncoder:
     The tokenizer parts text at white space and drops it, and no normal form or merge reaches across it, so the ids of
     a text are those of its parts between ASCII white space, one after another. It lower-cases, so A-Z may be lower
     from the start, but for words that hold SPECIAL: it finds its special tokens in the text as written. And it parts
-    letters from what is no letter, so an ASCII mark behind an ASCII letter stands alone.
+    letters from what is no letter, so an ASCII mark behind an ASCII letter stands alone. Where word_by_word() says that
+    the file is another, encode() hands whole texts to the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None, config: str | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        config = config if config is not None else read_file(path)
+        self.tokenizer, self.young, self.old = Tokenizer.from_str(config), {}, {}
+        self.by_words = word_by_word(config)
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        """The encoder that this process already has, if any: a worker runs many tasks."""
+    def of(cls, key: int, config: Callable[[], str]) -> WordEncoder:
+        """The encoder that this process already has, if any: a worker runs many tasks. key: a hash of the file."""
         kept = sys.modules.setdefault("_seqflow_encoders", types.ModuleType("_seqflow_encoders")).__dict__
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
+        if (name := f"e{key}") not in kept:
+            kept[name] = cls(config=config())
+        return kept[name]
 
     def look_up(self, words: set[bytes]) -> None:
         """Bring words to the young generation."""
@@ -144,6 +181,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         """The ids of each text. Nothing here makes cycles, so the collector need not walk the dictionaries."""
+        if not self.by_words:
+            found = self.tokenizer.encode_batch_fast([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)], add_special_tokens=False)
+            return [np.array(e.ids, np.uint32) for e in found]
         collecting = gc.isenabled()
         gc.disable()
         try:
@@ -180,8 +220,13 @@ class WordEncoder:
 
 
 def write(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END, parts: int | None = None) -> str:
-    """Write the ids of all texts, an end id after each, in ascending order of the documents; returns the folder."""
+    """Write the ids of all texts, an end id after each, in ascending order of the documents; returns the folder.
+
+    tokenizer: the path of the file, on the driver.
+    """
     spark = df.sparkSession
+    config = read_file(tokenizer)
+    key, shared = xxhash.xxh64_intdigest(config), spark.sparkContext.broadcast(config)  # a vocabulary's file, some MB
     path = path or f"{scratch(spark)}/token-ids-{uuid.uuid4().hex}"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
@@ -197,7 +242,7 @@ def write(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: st
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            encoder = encoder or WordEncoder.of(tokenizer)
+            encoder = encoder or WordEncoder.of(key, lambda: shared.value)
             part = batch.column(0)[0].as_py()
             for doc, ids in zip(batch.column(1).to_pylist(), encoder.encode(batch.column(2)), strict=True):
                 ids = np.append(ids, np.uint32(end))

@@ -313,6 +313,22 @@ def test_tokens_are_read_by_place_from_the_files(spark, documents, texts, tokeni
     assert Counter(map(tuple, got)) == want
 
 
+def test_other_tokenizers_encode_whole_texts(spark, documents, texts):
+    path = str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    assert not token_ids.WordEncoder(path).by_words
+    rows = token_ids.read(spark, token_ids.write(documents, path, parts=3)).collect()
+    assert sorted(map(tuple, rows)) == brute_tokens(path, sorted(texts.items()))
+
+
+def test_the_known_file_is_encoded_by_words(tokenizer):
+    import json
+
+    config = json.loads(token_ids.read_file(tokenizer))
+    assert token_ids.word_by_word(json.dumps(config))
+    for key, value in (("normalizer", None), ("pre_tokenizer", None), ("padding", {}), ("added_tokens", [{**config["added_tokens"][0], "content": "end"}])):
+        assert not token_ids.word_by_word(json.dumps({**config, key: value}))
+
+
 def test_codes_give_any_id_without_decoding():
     rng = np.random.default_rng(1)
     for top in (1, 200, 256, 70_000, 1 << 32):
