@@ -1,6 +1,7 @@
 """Typed reductions with explicit identities, over the ten built-in operations and the numeric types.
 
-An empty input gives the identity (or the caller's initial value), where Spark's aggregates give null.
+An empty input gives the identity (or the caller's initial value), where Spark's aggregates give null; max and min have
+none that all types share and give the initial value, or null without one. A product is a double.
 """
 
 from __future__ import annotations
@@ -46,9 +47,9 @@ def reduction(op: str, value: Column, kind: str = "long", init: Column | None =
         case "xor":
             return F.coalesce(F.bit_xor(v), F.lit(0)).bitwiseXOR(F.coalesce(start, F.lit(0)))
         case "land":
-            return F.coalesce(F.bool_and(v != 0), F.lit(True)).cast("int")
+            return (F.coalesce(F.bool_and(v != 0), F.lit(True)) & (F.coalesce(start, F.lit(1)) != 0)).cast("int")
         case "lor":
-            return F.coalesce(F.bool_or(v != 0), F.lit(False)).cast("int")
+            return (F.coalesce(F.bool_or(v != 0), F.lit(False)) | (F.coalesce(start, F.lit(0)) != 0)).cast("int")
         case "max":
             return F.greatest(F.max(v), start) if init is not None else F.max(v)
         case "min":

@@ -17,7 +17,7 @@ def axb_mod(a: Column, x: Column, b: Column, p: int) -> Column:
 
 
 def power_mod(base: int, exponent: Column, p: int, bits: int = 40) -> Column:
-    """base^exponent mod p by the exponent's bits, for exponents below 2^bits."""
+    """base^exponent mod p by the exponent's bits, for exponents from 0 to 2^bits - 1; others are an error. p is below 2^31."""
     squares, b = [], base % p
     for _ in range(bits):
         squares.append(b)
@@ -25,7 +25,21 @@ def power_mod(base: int, exponent: Column, p: int, bits: int = 40) -> Column:
     out = F.lit(1).cast("long")
     for k, s in enumerate(squares):
         out = F.pmod(out * F.when(F.shiftright(exponent, k).bitwiseAND(F.lit(1)) == 1, s).otherwise(1), F.lit(p))
-    return out
+    beyond = (exponent < 0) | (exponent >= F.lit(1 << bits))
+    return F.when(beyond, F.raise_error(F.lit(f"an exponent is not between 0 and 2^{bits} - 1")).cast("bigint")).otherwise(out)
+
+
+def first_one(value: Column) -> Column:
+    """The place of the lowest set bit, from 1; 0 where there is none."""
+    return F.when(value == 0, 0).when(value == F.lit(-(1 << 63)), 64).otherwise(F.bit_count(value.bitwiseXOR(value - 1)))
+
+
+def set_bit(value: Column, at: int) -> Column:
+    return value.bitwiseOR(F.lit(1 << at if at < 63 else -(1 << 63)))
+
+
+def unset_bit(value: Column, at: int) -> Column:
+    return value.bitwiseAND(F.lit(~(1 << at) if at < 63 else (1 << 63) - 1))
 
 
 def parse(text: Column, kind: str) -> Column:

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from seqflow.lineage import cut
 
+#: Tables that a union of levels has at most.
+PIECES = 16
+
 
 def bfs(edges: DataFrame, start: int, max_levels: int = 1_000_000) -> DataFrame:
-    """node, level: the least number of edges from start. Nodes that can't be reached are absent."""
+    """node, level: the least number of edges from start. Nodes that can't be reached are absent; a deeper graph than max_levels is an error."""
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(start, 0)], "node long, level int")
-    seen = frontier
+    seen, pieces = frontier, 1
     for level in range(1, max_levels):
         reached = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = cut(reached.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)), "frontier")
         if frontier.limit(1).count() == 0:
-            break
-        seen = seen.union(frontier)
-    return seen
+            return seen
+        seen, pieces = seen.union(frontier), pieces + 1
+        if pieces == PIECES:  # so that the plan stays short however many levels there are
+            seen, pieces = cut(seen, "seen"), 1
+    raise RuntimeError(f"nodes are left beyond {max_levels - 1} levels")
 
 
 def shortest_path(edges: DataFrame, start: int, to: int, unreachable: int | None = None) -> DataFrame:

@@ -21,6 +21,11 @@ def find_if(df: DataFrame, key: str, predicate: Column) -> DataFrame:
     return position_of(df, key, df.agg(F.min(F.when(predicate, F.col(key))).alias("_k")))
 
 
+def sorted_search(df: DataFrame, key: str, value) -> DataFrame:
+    """pos, found: the number of keys below value, and whether it is one. Only keys up to value are read, where the files have bounds."""
+    return df.where(F.col(key) <= value).agg(F.count_if(F.col(key) < value).alias("pos"), (F.count_if(F.col(key) == value) > 0).alias("found"))
+
+
 def find(df: DataFrame, key: str, column: str, value) -> DataFrame:
     return find_if(df, key, F.col(column) == value)
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from seqflow.lineage import cut
 
 CONCURRENT = ("R", "CW")
+#: Tables that a union of levels has at most.
+PIECES = 16
 
 
 def versions(accesses: DataFrame) -> DataFrame:
@@ -69,12 +71,25 @@ def critical_path(tasks: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
             break
         left = left.where("_open > 0")
         out.append(frontier)
+        if len(out) == PIECES:
+            out = [cut(union_all(out), "dates")]
     if left.limit(1).count() > 0:
         raise RuntimeError(f"tasks are left without a date: the graph has a cycle, a path of {max_rounds} edges or more, or an edge to no task")
-    result = out[0]
-    for f in out[1:]:
-        result = result.union(f)
-    return result
+    return union_all(out)
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def activated(edges: DataFrame, done: DataFrame) -> DataFrame:
+    """task_id of the tasks that become ready: not done, with predecessors, all of which are done. done: task_id."""
+    finished = done.select("task_id").distinct().withColumn("_done", F.lit(True))
+    met = edges.select("src", "dst").distinct().join(finished, F.col("src") == F.col("task_id"), "left").groupBy("dst").agg(F.bool_and(F.col("_done").isNotNull()).alias("_all"))
+    return met.where("_all").select(F.col("dst").alias("task_id")).join(done.select("task_id"), "task_id", "left_anti")
 
 
 def priority(date: Column, longest: Column, levels: int, how: str = "linear") -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqflow.functions import scalars
 from seqflow.functions.reductions import TYPES, Reducer, reduce_with, reduction
-from seqflow.operators import arrays, graphs, multisets, search, searches, statistics, traces
+from seqflow.operators import algorithms, arrays, graphs, multisets, search, searches, statistics, traces
 from seqflow.operators.sequence import Sequence, zip_sequences
 from seqflow.plans import dag
 from seqflow.sources import traces as trace_io
@@ -303,7 +303,7 @@ def seq_is_sorted(spark, d):
 
 @query("select count(*) filter (where o_orderkey < 777) as pos, count(*) filter (where o_orderkey = 777) > 0 as found from orders")
 def sorted_search(spark, d):
-    return table(spark, d, "orders").agg(F.count_if(F.col("o_orderkey") < 777).alias("pos"), (F.count_if(F.col("o_orderkey") == 777) > 0).alias("found"))
+    return search.sorted_search(table(spark, d, "orders"), "o_orderkey", 777)
 
 
 @query(S + "select pos, v from s where pos <= coalesce((select min(pos) from s where k = 42), (select n from n))")
@@ -507,23 +507,17 @@ def list_ranking(spark, d):
 
 @query(S + "select row_number() over (order by v, event_id) - 1 as pos, v, event_id from s")
 def sort_values(spark, d):
-    r = rows(spark, d).withColumn("_key", (F.col("v") * 100).cast("decimal(38,0)") * F.lit(10**12) + F.col("event_id"))
-    return Sequence(r, "_key").with_pos().select("pos", "v", "event_id")
+    return algorithms.sort(rows(spark, d).select("v", "event_id"), "v", "event_id")
 
 
 @query(S + "select n - 1 - pos as pos, v from s, n")
 def reverse_sequence(spark, d):
-    p = seq(spark, d).with_pos()
-    return p.crossJoin(F.broadcast(p.agg(F.count("*").alias("_n")))).select((F.col("_n") - 1 - F.col("pos")).alias("pos"), "v")
+    return algorithms.reverse(seq(spark, d).with_pos().select("pos", "v"))
 
 
 @query(S + "select row_number() over (order by case when v > 50 then 0 else 1 end, pos) - 1 as pos, v from s")
 def stable_partition(spark, d):
-    ok = F.when(F.col("v") > 50, 0).otherwise(1)
-    scan = Sequence(rows(spark, d).withColumn("_bad", ok), "event_id").scan(F.struct("_bad", "v")["_bad"])
-    p = seq(spark, d).with_pos().select("pos", "v").join(scan.select("pos", F.col("v").alias("bad"), "p"), "pos")
-    good = p.agg(F.count_if(F.col("bad") == 0).alias("_good"))
-    return p.crossJoin(F.broadcast(good)).select(F.when(F.col("bad") == 0, F.col("pos") - F.col("p")).otherwise(F.col("_good") + F.col("p") - 1).alias("pos"), "v")
+    return algorithms.stable_partition(seq(spark, d), F.col("v") > 50).select("pos", "v")
 
 
 @query("select v, count(*) as n from (select cast(o_totalprice as bigint) % 1000 as v from orders union all select cast(json_extract_string(props, '$.k') as bigint) as v from events) group by v")
@@ -532,6 +526,58 @@ def merge_sequences(spark, d):
     return a.unionAll(rows(spark, d).select(F.col("k").alias("v"))).groupBy("v").agg(F.count("*").alias("n"))
 
 
+@query("select row_number() over (order by c_mktsegment desc, c_name) - 1 as pos, c_mktsegment, c_name from customer")
+def sort_by_strings(spark, d):
+    return algorithms.sort(table(spark, d, "customer").select("c_mktsegment", "c_name"), F.desc("c_mktsegment"), F.asc("c_name"))
+
+
+@query(
+    "with b as (select floor(o_totalprice)::bigint as v, o_orderkey as k, 0 as side from orders union all select floor(value)::bigint, event_id, 1 from events) "
+    "select row_number() over (order by v, side, k) - 1 as pos, v, k, side from b"
+)
+def merge_in_order(spark, d):
+    a = table(spark, d, "orders").select(F.floor("o_totalprice").alias("v"), F.col("o_orderkey").alias("k"))
+    return algorithms.merge(a, rows(spark, d).select(F.floor("v").alias("v"), F.col("event_id").alias("k")), "v", "k")
+
+
+@query(
+    "with a as (select cast(o_totalprice as bigint) % 100 as v, count(*) as n from orders group by 1), b as (select cast(json_extract_string(props, '$.k') as bigint) as v, count(*) as n from events group by 1), "
+    "u as (select coalesce(a.v, b.v) as v, greatest(coalesce(a.n, 0), coalesce(b.n, 0)) as n from a full join b on a.v = b.v) "
+    "select row_number() over (order by v) - 1 as pos, v from (select v, unnest(range(n)) as i from u)"
+)
+def set_union_in_order(spark, d):
+    a = table(spark, d, "orders").select((F.bround("o_totalprice", 0).cast("bigint") % 100).alias("v"))
+    return algorithms.as_sequence(multisets.combine(a, rows(spark, d).select(F.col("k").alias("v")), "v", "union"))
+
+
+@query(S + ", o as (select row_number() over (order by o_orderkey) - 1 as pos, o_totalprice as v from orders) select s.pos, case when s.pos between 100 and 299 and o.pos is not null then o.v else s.v end as v from s left join o using (pos)")
+def swap_ranges_values(spark, d):
+    return algorithms.swap_ranges(seq(spark, d).with_pos().select("pos", "v"), orders(spark, d).with_pos().select("pos", "v"), 100, 300)[0]
+
+
+@query(S + "select round(10 + sum(v), 3) as plus, round(greatest(10, max(v)), 3) as largest from s")
+def accumulate_with(spark, d):
+    r = rows(spark, d)
+    both = algorithms.accumulate(r, "v", 10.0), algorithms.accumulate(r, "v", 10.0, "max").withColumnRenamed("result", "largest")
+    return both[0].crossJoin(both[1]).select(F.round("result", 3).alias("plus"), F.round("largest", 3).alias("largest"))  # one row each
+
+
+@query(S + "select round(5 + sum(abs(v - k)), 3) as result from s")
+def inner_product_with(spark, d):
+    zipped = rows(spark, d).select(F.col("event_id").alias("pos"), F.col("v").alias("v1"), F.col("k").alias("v2"))
+    return algorithms.inner_product(zipped, 5.0, "plus", lambda a, b: F.abs(a - b)).select(F.round("result", 3).alias("result"))
+
+
+@query(S + "select pos, case when pos = 0 then k else greatest(k, lag(k) over (order by pos)) end as d from s")
+def adjacent_difference_with(spark, d):
+    return algorithms.adjacent_difference(seq(spark, d), "k", F.greatest).select("pos", "d")
+
+
+@query("select range as i, least(range + 1000, 12345) as j, (least(range + 1000, 12345) - range) as n from range(7, 12345, 1000)")
+def foreach_with_body(spark, d):
+    return algorithms.foreach_blocks(spark, 7, 12345, lambda i, j: {"n": j - i}, 1000)
+
+
 @query(S + "select user_id, event_id, cast(rank() over (partition by user_id order by k desc, event_id) as integer) as place from s")
 def ready_by_priority(spark, d):
     return rows(spark, d).select("user_id", "event_id", F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("k"), "event_id")).alias("place"))

@@ -68,6 +68,16 @@ def as_dot(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string("%d -> %d;", "src", "dst").alias("value"))
 
 
+def write_dot(edges: DataFrame, path: str, name: str = "G", nodes: DataFrame | None = None) -> None:
+    """A folder whose files, one after another by name, are a DOT graph. nodes: id, label, where they are to be named."""
+    spark = edges.sparkSession
+    line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    out = line(f"digraph {name} {{")
+    if nodes is not None:
+        out = out.union(nodes.select(F.format_string('%d [label="%s"];', "id", F.regexp_replace("label", r'(["\\])', r"\\$1")).alias("value")))
+    out.union(as_dot(edges)).union(line("}")).write.text(path)
+
+
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """An edge list: a line with the number of nodes, then a line "from to" for each edge."""
     parts = F.split(F.trim("value"), r"\s+")
