@@ -14,7 +14,7 @@ collection that is indexed on its own:
    run is compared with the documents of its strings.
 
 An anchor with one distinct string skips 3: equality of string hashes decides. So does equality of single windows for
-an anchor with more than BATCH distinct strings, whose collection would be one task's without bound. An anchor that very
+an anchor with more than HOT distinct strings, whose collection would be one task's without bound. An anchor that very
 many documents share is dealt out too: of 256 documents two stand for it, the others know already that it is shared.
 No text is ever in one row with another's.
 
@@ -38,8 +38,8 @@ from seqflow.llm.common import cut, discard
 
 WINDOW, K, T = 50, 32, 13
 SPAN = WINDOW - K + 1  # places of an anchor in a window, and windows of a string at most
-BATCH, CHUNK = 2048, 4_000_000
-#: Windows of a text that are looked at at once; documents of 256 that share an anchor from which on a task deals it out.
+BATCH, HOT, CHUNK = 1024, 8192, 4_000_000
+#: Windows of a text that are looked at at once; documents of 256 that share an anchor from which on all but two are dealt out.
 PIECE, OFTEN = 1 << 19, 8
 LAST = (1 << 63) - 1
 _U = np.uint64
@@ -173,23 +173,29 @@ def least_documents(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [out[i, : n - WINDOW + 1] for i, n in enumerate(lengths.tolist())]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    out = np.sort(values)
+    return out[np.concatenate(([True], out[1:] != out[:-1]))] if len(out) else out
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, text to m, doc, salt: the distinct anchors of each text. A salt other than 0: the anchor is known to be shared."""
-    often = np.empty(0, np.int64)
     for batch in batches:
         docs = batch.column(0).to_numpy()
         for c in range(0, batch.num_rows, 256):  # the keys of all texts at once would be long
-            hs = [np.unique(strings_of(t.as_py())[0]) for t in batch.column(1)[c : c + 256].cast(pa.binary())]
+            hs = [distinct(strings_of(t.as_py())[0]) for t in batch.column(1)[c : c + 256].cast(pa.binary())]
             m, doc = np.concatenate(hs), np.repeat(docs[c : c + 256], [len(h) for h in hs])
-            order = np.argsort(m, kind="stable")
-            m, doc = m[order], doc[order]
-            starts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1]))) if len(m) else np.empty(0, np.int64)
-            sizes = np.diff(np.append(starts, len(m)))
-            spare = np.arange(len(m)) - np.repeat(starts, sizes) >= 2  # two say that it is shared
-            if len(often):
-                spare |= often[np.minimum(np.searchsorted(often, m), len(often) - 1)] == m
-            often = np.union1d(often, m[starts[sizes >= OFTEN]])
-            salt = np.where(spare, 1 + (np.arange(len(m)) & 0xFFFF), 0).astype(np.int32)
+            salt = np.zeros(len(m), np.int32)
+            # few bits of the anchor tell which may be frequent, so that only these are sorted
+            slot = m & ((1 << max(16, len(m).bit_length() + 1)) - 1)
+            maybe = np.flatnonzero(np.bincount(slot)[slot] >= OFTEN) if len(m) else np.empty(0, np.int64)
+            if len(maybe):
+                maybe = maybe[np.argsort(m[maybe], kind="stable")]
+                own = m[maybe]
+                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                sizes = np.diff(np.append(starts, len(own)))
+                spare = (np.arange(len(own)) - np.repeat(starts, sizes) >= 2) & np.repeat(sizes >= OFTEN, sizes)  # two say that it is shared
+                salt[maybe[spare]] = 1 + (maybe[spare] & 0xFFFF)
             yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(doc), pa.array(salt)], ["m", "doc", "salt"])
 
 
@@ -245,7 +251,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, part in zip(texts, _lists(batch.column(3)), strict=True):
             text = text.as_py()
             m, first, count = strings_of(text)
-            own = np.flatnonzero(np.isin(m, flat[part]))
+            wanted = np.sort(flat[part])
+            own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, m), len(wanted) - 1)] == m)
             sid = string_ids(text, first[own], count[own])
             order = np.argsort(sid, kind="stable")
             own, sid = own[order], sid[order]
@@ -364,7 +371,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     else:
         least = first_of.agg(F.min("doc").alias("doc"), F.min("rk").alias("rk"), F.min_by("at", "doc").alias("at"), F.max("n").alias("n"))
     firsts = cut(least, "firsts")
-    many = firsts.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m", (F.col("_n") > BATCH).alias("hot"))
+    many = firsts.groupBy("m").agg(F.count("*").alias("_n")).where("_n > 1").select("m", (F.col("_n") > HOT).alias("hot"))
     flagged = cut(firsts.join(many.hint("shuffle_hash"), "m", "left"), "flagged")
     discard(firsts)
 
@@ -377,7 +384,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     windows = alone.union(indexed)
     if flagged.where("hot").limit(1).count():
         single = cut(strings(flagged.where("hot")).mapInArrow(_windows, "m long, sid long, i int, window long, doc long"), "single")
-        earliest = single.groupBy("m", "window").agg(F.min("doc").alias("low"))
+        # written, so that the windows that very many strings share are split by the join
+        earliest = cut(single.groupBy("m", "window").agg(F.min("doc").alias("low")), "earliest")
         lows = single.drop("doc").join(earliest, ["m", "window"]).groupBy("m", "sid").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("lows"))
         windows = windows.union(lows.select("m", "sid", F.col("lows.low")))
     windows = cut(windows, "windows")

@@ -165,6 +165,7 @@ def test_repeats_of_documents(documents, texts):
 def test_repeats_overlap_and_nest(spark, monkeypatch):
     """Passages of 49 to 140 bytes planted at random, periodic texts, and one anchor with many strings."""
     monkeypatch.setattr(suffix_dedup, "BATCH", 16)
+    monkeypatch.setattr(suffix_dedup, "HOT", 16)
     rng = random.Random(7)
     letters = lambda n: "".join(rng.choices("abcdé", k=n))
     passages = [letters(n) for n in (42, 50, 60, 90, 130)] + ["ab" * 60, "x" * 100]
