@@ -11,6 +11,16 @@ def micros(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', {column})")
 
 
+#: Nanoseconds of each unit of time.
+UNITS = {"ns": 1, "us": 1000, "ms": 1000**2, "s": 1000**3}
+
+
+def elapsed(start: str, end: str, unit: str = "us") -> Column:
+    """Time from one timestamp column to another in a unit of UNITS: a whole number, but seconds are doubles."""
+    between = micros(end) - micros(start)
+    return between / 1e6 if unit == "s" else F.floor(between * 1000 / UNITS[unit]) if unit == "ms" else between * (1000 // UNITS[unit])
+
+
 def axb_mod(a: Column, x: Column, b: Column, p: int) -> Column:
     """(a x + b) mod p, for p below 2^31."""
     return F.pmod(a * x + b, F.lit(p))

@@ -51,6 +51,10 @@ CLASSES = {
     "idle": {10, 11, 12, 13, 15, 16},
     "stealop": {17, 18, 19, 20, 21},
 }
+#: Events whose intervals the task statistics time.
+TIMED = {2: "task", 3: "task", 10: "idle", 11: "idle", 12: "suspend", 13: "suspend", 17: "requests", 18: "requests"}
+#: Events that take one from a processor's count of activity, and those that give it back.
+RELEASES, RESUMES = {10, 12, 15}, {11, 13, 16}
 EVENTS = {int(code): name for code, name in (line.split() for line in CATALOGUE.split("\n") if line)}
 
 
@@ -73,21 +77,22 @@ def in_time_order(traces: list[DataFrame]) -> DataFrame:
     return out.orderBy("t", "kid", "event")
 
 
-def intervals(trace: DataFrame, sign: Column, order: str = "t") -> DataFrame:
-    """kid, depth, beg, end, balanced for each begin or unmatched end.
+def intervals(trace: DataFrame, sign: Column, order: str = "t", kind: str | None = None) -> DataFrame:
+    """kid, depth, beg, end, balanced for each begin or unmatched end; with kind, each kind of interval on its own.
 
     sign is 1 at a begin and -1 at an end. A begin's depth is the number of open intervals with it, an end's that of the
     one it closes; at one depth begins and ends alternate unless the trace is unbalanced, which is reported.
     """
-    by_kid = Window.partitionBy("kid").orderBy(order)
+    own = ["kid", kind] if kind else ["kid"]
+    by_kid = Window.partitionBy(*own).orderBy(order)
     run = F.sum("_s").over(by_kid.rowsBetween(Window.unboundedPreceding, 0))
     at = trace.withColumn("_s", sign).withColumn("depth", F.when(F.col("_s") > 0, run).otherwise(run + 1))
-    level = Window.partitionBy("kid", "depth").orderBy(order)
+    level = Window.partitionBy(*own, "depth").orderBy(order)
     seen = at.withColumn("_next_s", F.lead("_s").over(level)).withColumn("_next_t", F.lead("t").over(level)).withColumn("_last_s", F.lag("_s").over(level))
     begins, closed = F.col("_s") > 0, F.coalesce(F.col("_next_s") < 0, F.lit(False))
     stray = (F.col("_s") < 0) & ~F.coalesce(F.col("_last_s") > 0, F.lit(False))
     return seen.where(begins | stray).select(
-        "kid",
+        *own,
         F.col("depth").cast("int").alias("depth"),
         F.when(begins, F.col("t")).alias("beg"),
         F.when(begins & closed, F.col("_next_t")).when(stray, F.col("t")).alias("end"),
@@ -110,6 +115,77 @@ def statistics(spans: DataFrame, z: float = 2.576) -> DataFrame:
     )
 
 
+def task_statistics(trace: DataFrame, order: str = "t") -> DataFrame:
+    """For each kid: tasks, total, idle, suspended, requests (ns in such intervals) and steals (STEAL_OP events).
+
+    idle is without the time suspended. Intervals without an end count nothing; a kid without any has zeros.
+    """
+    kind = F.create_map(*[F.lit(x) for kv in TIMED.items() for x in kv])[F.col("evtno").cast("int")]
+    begins = F.col("evtno").isin([code for code in TIMED if EVENTS[code].endswith("_BEG")])
+    spans = intervals(trace.withColumn("kind", kind).where("kind is not null"), F.when(begins, 1).otherwise(-1), order, "kind").where("balanced")
+    spent = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("end") - F.col("beg"))), F.lit(0))
+    times = spans.groupBy("kid").agg(
+        F.count_if(F.col("kind") == "task").alias("tasks"), spent("task").alias("total"), (spent("idle") - spent("suspend")).alias("idle"), spent("suspend").alias("suspended"), spent("requests").alias("requests")
+    )
+    steals = trace.groupBy("kid").agg(F.count_if(F.col("evtno") == 19).alias("steals"))
+    return steals.join(times, "kid", "left").fillna(0, ["tasks", "total", "idle", "suspended", "requests"])
+
+
+def efficiency(trace: DataFrame, step: int, order: str = "event") -> DataFrame:
+    """kid, bucket, active, idle, efficiency, steals, tasks for each kid and bucket [b * step, (b + 1) * step) of the trace.
+
+    A processor starts with a count of one and stops with none; IDLE, SUSPEND (which may nest) and SUSPWAIT take one from
+    it until they end. Time at a count of one is active, other time since the start is idle. efficiency is active's share,
+    0 before the start. steals (RECV_REPLY with d2 other than 0) and tasks (STATIC_TASK_BEG) count all up to the bucket.
+
+    Counts are scanned in two levels: within a kid's bucket, then over one row for each bucket, so no task meets all
+    events of a processor.
+    """
+    e = F.col("evtno")
+    change = F.when(e.isin(sorted(RELEASES)), -1).when(e.isin(sorted(RESUMES)), 1).otherwise(0)
+    base = F.when(e == 0, 1).when(e == 1, 0)
+    at = trace.withColumn("_bucket", F.expr(f"t div {step}"))
+    moves = at.where(e.isin(sorted({0, 1} | RELEASES | RESUMES))).select("kid", "_bucket", "t", order, change.alias("_d"), base.alias("_to"))
+    moves = moves.transform(_count, Window.partitionBy("kid", "_bucket").orderBy("t", order))
+    after = F.lead("t").over(Window.partitionBy("kid", "_bucket").orderBy("t", order))
+    spans = moves.withColumn("_span", F.coalesce(after, (F.col("_bucket") + 1) * step) - F.col("t"))
+    ends = spans.groupBy("kid", "_bucket").agg(F.max_by(F.struct("_known", "_count"), F.struct("t", order)).alias("_end"), F.min("t").alias("_first"))
+    counts = at.groupBy("kid", "_bucket").agg(F.count_if((e == 21) & (F.col("d2") != 0)).alias("_steals"), F.count_if(e == 8).alias("_tasks"))
+
+    reach = trace.agg(F.expr(f"min(t) div {step}").alias("_lo"), F.expr(f"max(t) div {step}").alias("_hi"))  # one row
+    grid = trace.select("kid").distinct().crossJoin(F.broadcast(reach)).select("kid", F.explode(F.sequence("_lo", "_hi")).alias("_bucket"))
+    by_kid = Window.partitionBy("kid").orderBy("_bucket")
+    upto = by_kid.rowsBetween(Window.unboundedPreceding, 0)
+    known = F.coalesce(F.col("_end._known"), F.lit(False))
+    grid = grid.join(ends, ["kid", "_bucket"], "left").join(counts, ["kid", "_bucket"], "left")
+    grid = grid.withColumn("_to", F.when(known, F.col("_end._count"))).withColumn("_d", F.when(known, 0).otherwise(F.coalesce(F.col("_end._count"), F.lit(0))))
+    grid = grid.transform(_count, by_kid).withColumn("_carried", F.lag(F.when(F.col("_known"), F.col("_count"))).over(by_kid))
+    grid = grid.select(
+        "kid", "_bucket", "_carried",
+        (F.coalesce(F.col("_first"), (F.col("_bucket") + 1) * step) - F.col("_bucket") * step).alias("_before"),
+        F.coalesce(F.sum("_steals").over(upto), F.lit(0)).alias("steals"),
+        F.coalesce(F.sum("_tasks").over(upto), F.lit(0)).alias("tasks"),
+    )
+
+    # the time at each count, relative to what the bucket began with where that is not yet known
+    held = spans.groupBy("kid", "_bucket", "_known", "_count").agg(F.sum("_span").alias("_span"))
+    now = F.when(F.col("_known"), F.col("_count")).otherwise(F.col("_carried") + F.col("_count"))
+    own = grid.select("kid", "_bucket", "_carried").join(held, ["kid", "_bucket"]).groupBy("kid", "_bucket").agg(F.sum(F.when(now == 1, F.col("_span"))).alias("_active"), F.sum(F.when(now != 1, F.col("_span"))).alias("_idle"))
+    zero = F.lit(0)
+    active = F.coalesce(F.col("_active"), zero) + F.when(F.col("_carried") == 1, F.col("_before")).otherwise(zero)
+    idle = F.coalesce(F.col("_idle"), zero) + F.when(F.col("_carried") != 1, F.col("_before")).otherwise(zero)
+    out = grid.join(own, ["kid", "_bucket"], "left").select("kid", F.col("_bucket").alias("bucket"), active.alias("active"), idle.alias("idle"), "steals", "tasks")
+    return out.withColumn("efficiency", F.coalesce(F.try_divide(F.col("active").cast("double"), F.col("active") + F.col("idle")), F.lit(0.0)))
+
+
+def _count(df: DataFrame, order) -> DataFrame:
+    """_count, the sum of _d since _to was last set, and what it was set to; _known, whether it was set."""
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_sum", F.sum("_d").over(w))
+    df = df.withColumn("_since", F.last(F.when(F.col("_to").isNotNull(), F.col("_sum")), ignorenulls=True).over(w)).withColumn("_base", F.last("_to", ignorenulls=True).over(w))
+    return df.withColumn("_known", F.col("_base").isNotNull()).withColumn("_count", F.col("_sum") - F.coalesce("_since", F.lit(0)) + F.coalesce("_base", F.lit(0))).drop("_sum", "_since", "_base")
+
+
 def utilisation(spans: DataFrame, step: int) -> DataFrame:
     """kid, bucket, busy: the time in intervals in each half-open bucket [b * step, (b + 1) * step)."""
     whole = spans.where("balanced and `end` > beg")

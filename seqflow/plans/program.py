@@ -8,6 +8,8 @@ once, so they may come in any order.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,6 +22,36 @@ MODES = {"R", "W", "RW", "CW"}
 ALIASES = {"read": "R", "r": "R", "input": "R", "write": "W", "w": "W", "output": "W", "readwrite": "RW", "rw": "RW", "inout": "RW", "reduction": "CW", "cw": "CW"}
 
 
+class Cancelled(RuntimeError):
+    """A sequence of jobs was cancelled."""
+
+
+class JobSequence:
+    """Jobs that are run in order and can be cancelled together; use run() for each and cancel() from any thread."""
+
+    def __init__(self, spark: SparkSession, name: str = "sequence"):
+        self.spark, self.tag, self._cancelled = spark, f"{name}-{uuid.uuid4().hex}", threading.Event()
+
+    def run(self, job: Callable[[], object]):
+        """job()'s result; an error if the sequence was cancelled before or meanwhile."""
+        if self._cancelled.is_set():
+            raise Cancelled(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
+        try:
+            return job()
+        except Exception as e:
+            if self._cancelled.is_set():
+                raise Cancelled(self.tag) from e
+            raise
+        finally:
+            self.spark.sparkContext.removeJobTag(self.tag)
+
+    def cancel(self) -> None:
+        """Stop the jobs of this sequence that run, and let none begin."""
+        self._cancelled.set()
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+
 @dataclass
 class Program:
     spark: SparkSession
@@ -83,6 +115,24 @@ class Program:
             self.versions[n] = [cut(self.latest(n), f"datum-{n}")]
         return {n: self.versions[n][-1] for n in names or self.versions}
 
+    def repeat(self, times: int, body: Callable[[int], None], *names: str) -> dict[str, DataFrame]:
+        """Run a graph several times: body(k) spawns its tasks, whose data are then written, so each round reads the one before."""
+        if times < 0:
+            raise ValueError("times is negative")
+        for k in range(times):
+            body(k)
+            self.sync(*names)
+        return {n: self.latest(n) for n in names or self.versions}
+
+    def save(self) -> dict[str, DataFrame]:
+        """The data's latest versions, to restore later."""
+        return {n: self.latest(n) for n in self.versions}
+
+    def restore(self, saved: dict[str, DataFrame]) -> None:
+        """Data as they were saved; those made since then are gone."""
+        self._pending.clear()
+        self.versions = {n: [df] for n, df in saved.items()}
+
     def accesses(self) -> DataFrame:
         """task_id, name, datum, mode: the graph's input for seqflow.plans.dag."""
         return self.spark.createDataFrame(self.log, "task_id long, name string, datum string, mode string")

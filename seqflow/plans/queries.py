@@ -779,6 +779,47 @@ def trace_utilisation(spark, d):
     return traces.utilisation(_spans(spark, d), 3_600_000_000_000)
 
 
+_KINDS = S + ", tr as (select user_id as kid, t, event_id, k % 6 as kind, row_number() over (partition by user_id, k % 6 order by t, event_id) as rn from s) "
+
+
+@query(_KINDS + ", iv as (select *, lead(t) over (partition by kid, kind order by t, event_id) as fin from tr), x as (select kid, count(*) filter (where kind = 0) as tasks, " + ", ".join(f"cast(coalesce(sum(fin - t) filter (where kind = {k}), 0) as bigint) as {n}" for k, n in enumerate(("total", "idle_all", "suspended", "requests"))) + " from iv where rn % 2 = 1 and kind < 4 and fin is not null group by kid), st as (select kid, count(*) filter (where kind = 4) as steals from tr group by kid) select kid, steals, coalesce(tasks, 0) as tasks, coalesce(total, 0) as total, coalesce(idle_all - suspended, 0) as idle, coalesce(suspended, 0) as suspended, coalesce(requests, 0) as requests from st left join x using (kid)")
+def trace_task_statistics(spark, d):
+    kind = F.col("k") % 6
+    odd = F.row_number().over(Window.partitionBy("user_id", kind).orderBy("t", "event_id")) % 2 == 1
+    begin = F.element_at(F.array(*[F.lit(c) for c in (2, 10, 12, 17)]), (kind + 1).cast("int"))
+    code = F.when(kind == 4, 19).when(kind == 5, 25).otherwise(F.when(kind < 4, begin + F.when(odd, 0).otherwise(1)))
+    # equal times are parted by the event's number
+    return traces.task_statistics(rows(spark, d).select(F.col("user_id").alias("kid"), "t", F.struct("t", "event_id").alias("at"), code.alias("evtno")), "at")
+
+
+_HOURS6 = 21_600_000_000_000
+
+
+@query(
+    S
+    + f""", tr as (select user_id as kid, t, event_id, k % 3 as d2, case when row_number() over (partition by user_id order by t, event_id) = 2 then 0
+  when event_type = 'error' and k % 8 = 7 then k % 16 // 8 else [10, 11, 12, 13, 15, 16, 21, 8][k % 8 + 1] end as evtno from s),
+ep as (select *, sum(case when evtno < 2 then 1 else 0 end) over (partition by kid order by t, event_id) as epoch from tr where evtno in (0, 1, 10, 11, 12, 13, 15, 16)),
+st as (select kid, t, sum(case when evtno in (10, 12, 15) then -1 when evtno in (0, 11, 13, 16) then 1 else 0 end) over (partition by kid, epoch order by t, event_id) as act, epoch,
+  coalesce(lead(t) over (partition by kid order by t, event_id), (select (max(t) // {_HOURS6} + 1) * {_HOURS6} from tr)) as fin from ep),
+ex as (select kid, act, t, fin, unnest(range(t // {_HOURS6}, (fin - 1) // {_HOURS6} + 1)) as bucket from st where epoch > 0 and fin > t),
+sp as (select kid, bucket, sum(case when act = 1 then least(fin, (bucket + 1) * {_HOURS6}) - greatest(t, bucket * {_HOURS6}) else 0 end) as active,
+  sum(case when act <> 1 then least(fin, (bucket + 1) * {_HOURS6}) - greatest(t, bucket * {_HOURS6}) else 0 end) as idle from ex group by kid, bucket),
+ct as (select kid, t // {_HOURS6} as bucket, count(*) filter (where evtno = 21 and d2 <> 0) as steals, count(*) filter (where evtno = 8) as tasks from tr group by 1, 2),
+gr as (select kid, bucket from (select distinct kid from tr), range((select min(t) // {_HOURS6} from tr), (select max(t) // {_HOURS6} + 1 from tr)) r(bucket))
+select kid, bucket, cast(coalesce(active, 0) as bigint) as active, cast(coalesce(idle, 0) as bigint) as idle,
+  cast(coalesce(sum(steals) over (partition by kid order by bucket), 0) as bigint) as steals, cast(coalesce(sum(tasks) over (partition by kid order by bucket), 0) as bigint) as tasks,
+  round(coalesce(active / (active + idle), 0), 6) as efficiency from gr left join sp using (kid, bucket) left join ct using (kid, bucket)"""
+)
+def trace_efficiency(spark, d):
+    k = F.col("k")
+    second = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) == 2
+    usual = F.element_at(F.array(*[F.lit(c) for c in (10, 11, 12, 13, 15, 16, 21, 8)]), (k % 8 + 1).cast("int"))
+    code = F.when(second, 0).when((F.col("event_type") == "error") & (k % 8 == 7), F.floor(k % 16 / 8)).otherwise(usual)
+    trace = rows(spark, d).select(F.col("user_id").alias("kid"), "t", F.col("event_id").alias("event"), code.alias("evtno"), (k % 3).alias("d2"))
+    return traces.efficiency(trace, _HOURS6).withColumn("efficiency", F.round("efficiency", 6))
+
+
 @query(TRACE + "select kid, task from (select user_id as kid, k as task, rn from tr) where rn % 2 = 1")
 def trace_task_map(spark, d):
     return as_trace(spark, d).where("evtno = 2").select("kid", F.col("d0").alias("task"))
@@ -851,6 +892,13 @@ def cpu_sets(spark, d):
     return seq(spark, d).with_pos().select("pos", F.array_join(F.transform(scalars.cpu_set(text), lambda x: x.cast("string")), ",").alias("cpus"))
 
 
+@query("with w as (select event_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as b from events) select event_id, epoch_us(ts) - epoch_us(b) as us, (epoch_us(ts) - epoch_us(b)) * 1000 as ns, (epoch_us(ts) - epoch_us(b)) // 1000 as ms, round((epoch_us(ts) - epoch_us(b)) / 1e6, 6) as s from w")
+def elapsed_time(spark, d):
+    w = table(spark, d, "events").withColumn("b", F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    spent = lambda unit: scalars.elapsed("b", "ts", unit).alias(unit)
+    return w.select("event_id", spent("us"), spent("ns"), spent("ms"), F.round(scalars.elapsed("b", "ts", "s"), 6).alias("s"))
+
+
 @query(S + "select user_id * 1000 + k as packed, user_id as i, k as j from s")
 def packed_ids(spark, d):
     packed = rows(spark, d).select(scalars.pack(F.col("user_id"), F.col("k"), 1000).alias("packed"))

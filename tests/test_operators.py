@@ -198,3 +198,25 @@ def test_scalars(spark):
     )
     assert tuple(row.first()) == ([3, 5, 9], 12, None, None)
     assert one(spark.range(11, 12).select(scalars.power_mod(2, F.col("id"), 1000))) == 48
+
+
+def test_efficiency_of_nested_suspends_stops_and_starts(spark):
+    # kid 1: starts at 10, idle 20-40, suspended in idle 25-35, waits from 60, stops at 80, starts again at 95
+    events = [(1, 10, 0), (1, 20, 10), (1, 25, 12), (1, 35, 13), (1, 40, 11), (1, 60, 15), (1, 70, 16), (1, 80, 1), (1, 95, 0), (2, 5, 11), (2, 99, 8)]
+    trace = spark.createDataFrame([(kid, t, i, code, 1) for i, (kid, t, code) in enumerate(events)], "kid long, t long, event long, evtno int, d2 long")
+    got = {(r["kid"], r["bucket"]): (r["active"], r["idle"]) for r in traces.efficiency(trace, 30).collect()}
+    own = lambda t: next((a for a, b, e in [(True, 10, 20), (False, 20, 40), (True, 40, 60), (False, 60, 70), (True, 70, 80), (False, 80, 95), (True, 95, 120)] if b <= t < e), None)
+    for b in range(4):
+        states = [own(t) for t in range(b * 30, b * 30 + 30)]
+        assert got[1, b] == (states.count(True), states.count(False))
+        assert got[2, b] == (0, 0)  # never started
+    last = traces.efficiency(trace, 30).where("kid = 2 and bucket = 3").first()
+    assert (last["tasks"], last["efficiency"]) == (1, 0.0)
+    assert traces.efficiency(trace.limit(0), 30).count() == 0
+
+
+def test_task_statistics_of_a_kid_without_intervals(spark):
+    events = [(1, 0, 2), (1, 5, 3), (1, 6, 10), (1, 8, 12), (1, 9, 13), (1, 16, 11), (1, 17, 17), (1, 19, 18), (1, 20, 2), (2, 1, 19)]
+    trace = spark.createDataFrame(events, "kid long, t long, evtno int")
+    got = {r["kid"]: (r["tasks"], r["total"], r["idle"], r["suspended"], r["requests"], r["steals"]) for r in traces.task_statistics(trace).collect()}
+    assert got == {1: (1, 5, 9, 1, 2, 0), 2: (0, 0, 0, 0, 0, 1)}
