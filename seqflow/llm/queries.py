@@ -70,6 +70,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_langid, op4_suffix_dedup, op5_fingerprints, op6_mixing, op7_token_ids, op8_simhash, op9_decontamination, op10_chat)}
 
 ORACLE_SQL = {
+    "op4_suffix_dedup": r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+-- pieces of 1000 bytes and the 49 after them, in hexadecimal digits, then every 50-byte string
+p as (select doc_id, h, unnest(range(0, length(h) // 2 - 49, 1000)) as pos from d where length(h) >= 100),
+c as (select doc_id, pos, substr(h, 2 * pos + 1, 2098) as h from p),
+w as (select doc_id, pos + k as pos, substr(h, 2 * k + 1, 100) as s from (select *, unnest(range(0, length(h) // 2 - 49)) as k from c)),
+f as (select s, min(doc_id) as least from w group by s having min(doc_id) < max(doc_id)),
+r as (select doc_id, pos from w join f using (s) where f.least < doc_id),
+i as (select *, sum(fresh) over (partition by doc_id order by pos) as run
+      from (select *, case when pos <= lag(pos) over (partition by doc_id order by pos) + 50 then 0 else 1 end as fresh from r)),
+runs as (select doc_id, run, min(pos) as a, max(pos) + 50 as b from i group by doc_id, run),
+gaps as (select doc_id, b as a, lead(a) over (partition by doc_id order by a) as b from runs union all select doc_id, 0, min(a) from runs group by doc_id),
+left_ as (select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' order by a) as h from gaps join d using (doc_id) group by doc_id),
+sums as (select doc_id, sum(b - a) as removed, count(*) as spans from runs group by doc_id)
+select doc_id, length(d.h) // 2 as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans,
+       sha256(unhex(coalesce(left_.h, d.h))) as kept_sha256
+from d left join sums using (doc_id) left join left_ using (doc_id)""",
     "op9_decontamination": r"""
 with d as (select distinct doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
 i as (select distinct item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
