@@ -358,17 +358,21 @@ def red_logical(spark, d):
     return rows(spark, d).agg(reduction("land", F.col("k")).alias("all_set"), reduction("lor", F.col("k")).alias("any_set"))
 
 
-@query(S + "select 0 as plus, 1.0::double as mul, -1::bigint as all_bits, 0::bigint as any_bit, 1 as all_set, 0 as any_set from n")
+@query(S + "select 0 as plus, 1.0::double as mul, -1::bigint as all_bits, 0::bigint as any_bit, 1 as all_set, 0 as any_set, max(k) as largest, min(k) as least, 7::bigint as largest_from_7, 7::bigint as least_from_7 from s where k < 0")
 def red_identities(spark, d):
     none, k = rows(spark, d).where("k < 0"), F.col("k")
     ops = {"plus": "plus", "mul": "mul", "all_bits": "and", "any_bit": "or", "all_set": "land", "any_set": "lor"}
-    made = none.agg(*[reduction(op, k, "dbl" if op == "mul" else "long").alias(n) for n, op in ops.items()])
-    return made.select(F.col("plus").cast("int").alias("plus"), "mul", "all_bits", "any_bit", "all_set", "any_set")
+    ends = {"largest": "max", "least": "min"}
+    made = none.agg(
+        *[reduction(op, k, "dbl" if op == "mul" else "long").alias(n) for n, op in (ops | ends).items()],
+        *[reduction(op, k, init=F.lit(7).cast("long")).alias(f"{n}_from_7") for n, op in ends.items()],
+    )
+    return made.select(F.col("plus").cast("int").alias("plus"), "mul", "all_bits", "any_bit", "all_set", "any_set", "largest", "least", "largest_from_7", "least_from_7")
 
 
 @query(S + "select " + ", ".join(f"cast(sum(k) as double) as sum_{t}" for t in TYPES) + " from s")
 def red_types(spark, d):
-    return rows(spark, d).agg(*[F.sum(F.col("k").cast(spark_type)).cast("double").alias(f"sum_{t}") for t, spark_type in TYPES.items()])
+    return rows(spark, d).agg(*[reduction("plus", F.col("k"), t).cast("double").alias(f"sum_{t}") for t in TYPES])
 
 
 @query(S + "select cast(sum(k) as bigint) as total, bit_xor(k) as odd_bits, max(v) as largest, count(*) filter (where v > 10) as n from s")
