@@ -11,7 +11,9 @@ SIMILAR: shingles of five words, a similarity of 0.8 or more. Five-word prints o
 beyond what grids can find, while prints of their distinct two-word shingles differ in 8 or fewer. So those are searched,
 and a pair is verified on 256 bits of its distinct five-word shingles: a similarity s is expected to differ in
 256 arccos(2 s / (1 + s)) / pi of them, 39 at 0.8, and links have 47 or fewer. The grids are certain for pairs whose
-two-word prints differ in 5 or fewer bits and miss some beyond.
+two-word prints differ in 5 or fewer bits and miss some beyond, and prints of some similar pairs differ in more bits. So
+between the groups that the grids give, similar.pairs() then finds every pair of 0.8 or more that is left, on the
+shingles themselves: none is missed. What only prints link, mostly pairs of 0.6 to 0.8, stays linked.
 
 Counts 0, 1, 2 are held as 00, 01, 11, so that a Manhattan distance is the bit count of an exclusive or.
 
@@ -32,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqflow.llm import similar
 from seqflow.llm.common import cut, discard, fresh, named
 from seqflow.llm.components import components
 
@@ -45,7 +48,7 @@ CHECKS = 4
 
 @dataclass(frozen=True)
 class Rule:
-    """Words of a shingle, whether each counts once, greatest distance, groups and how many span a grid; words and greatest distance of the second print."""
+    """Words of a shingle, whether each counts once, greatest distance, groups and how many span a grid; words and greatest distance of the second print; tenths of similarity of its shingles that always link."""
 
     words: int = 4
     distinct: bool = False
@@ -54,6 +57,7 @@ class Rule:
     agree: int = 3
     check_words: int = 0
     check_distance: int = 0
+    tenths: int = 0
 
     @property
     def columns(self) -> list[str]:
@@ -61,7 +65,7 @@ class Rule:
 
 
 CONTRACT = Rule()
-SIMILAR = Rule(words=2, distinct=True, distance=8, groups=8, agree=3, check_words=5, check_distance=47)
+SIMILAR = Rule(words=2, distinct=True, distance=8, groups=8, agree=3, check_words=5, check_distance=47, tenths=8)
 
 
 def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -90,17 +94,22 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prints_of(text: bytes | None, rule: Rule = CONTRACT) -> list[int]:
-    """The fingerprint, unsigned, and the words of the second print."""
+def described(text: bytes | None, rule: Rule) -> tuple[list[int], np.ndarray]:
+    """The fingerprint, unsigned, and the words of the second print; the hashes of its distinct shingles, sorted."""
     words = (text or b"").lower().split()  # of bytes: A-Z, and the six ASCII white-space characters
     if not words:
-        return [0] * len(rule.columns)
+        return [0] * len(rule.columns), np.empty(0, np.uint64)
     hashes = shingle_hashes(words, rule.words)
     out = [majority(np.unique(hashes) if rule.distinct else hashes)]
-    if rule.check_words:
-        hashes = np.unique(shingle_hashes(words, rule.check_words))
-        out += [majority(mixed(hashes, k)) for k in range(CHECKS)]
-    return out
+    if not rule.check_words:
+        return out, np.empty(0, np.uint64)
+    hashes = np.unique(shingle_hashes(words, rule.check_words))
+    return out + [majority(mixed(hashes, k)) for k in range(CHECKS)], hashes
+
+
+def prints_of(text: bytes | None, rule: Rule = CONTRACT) -> list[int]:
+    """The fingerprint, unsigned, and the words of the second print."""
+    return described(text, rule)[0]
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -117,18 +126,29 @@ def nodes(prints: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: Rule = CONTRACT) -> DataFrame:
-    """_id, _h (64-bit hash of the text), _node and the rule's columns for each row."""
+    """_id, _h (64-bit hash of the text), _node and the rule's columns for each row; where it has tenths, the set of shingles: _set (its hash), _n (its size), _prefix."""
+    sets = ["_set", "_n", "_prefix"] if rule.tenths else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            found = np.array([prints_of(t.as_py(), rule) for t in texts], np.uint64).reshape(-1, len(rule.columns))
+            rows, more = [], []
+            for t in texts:
+                row, hashes = described(t.as_py(), rule)
+                rows.append(row)
+                if sets:
+                    more.append((xxhash.xxh64_intdigest(hashes.tobytes(), SEED), len(hashes), similar.prefix(hashes, rule.tenths).tobytes()))
+            found = np.array(rows, np.uint64).reshape(-1, len(rule.columns))
             columns = [nodes(found), *found.T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], ["_id", "_h", "_node", *rule.columns])
+            arrays = [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)]
+            if sets:
+                arrays += [pa.array(np.array([m[0] for m in more], np.uint64).view(np.int64)), pa.array([m[1] for m in more], pa.int32()), pa.array([m[2] for m in more], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["_id", "_h", "_node", *rule.columns, *sets])
 
     text = F.col(text_col)
     source = df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"))
-    return source.mapInArrow(run, "_id long, _h long, _node long, " + ", ".join(f"{c} long" for c in rule.columns))
+    schema = "_id long, _h long, _node long, " + ", ".join(f"{c} long" for c in rule.columns)
+    return source.mapInArrow(run, schema + (", _set long, _n int, _prefix binary" if sets else ""))
 
 
 def embedding(fp: Column) -> Column:
@@ -267,11 +287,44 @@ def links(prints: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     return met.where("not big").select("a", "b").union(rest.select("a", "b"))
 
 
+def whole_sets(df: DataFrame, sets: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """sets (rows with _id and _h of a row of df that has the set) with all _hashes, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3).cast(pa.binary())
+            for i in range(0, len(texts), 256):
+                hashes = [np.unique(shingle_hashes(t.as_py().lower().split(), rule.check_words)).tobytes() for t in texts[i : i + 256]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 256) for k in range(3)), pa.array(hashes, pa.binary())], ["_set", "_group", "_n", "_hashes"])
+
+    text = F.col(text_col)
+    texts = df.select(F.col(id_col).cast("long").alias("_tid"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+    found = texts.join(sets, (F.col("_th") == F.col("_h")) & F.col("_tid").eqNullSafe(F.col("_id")))
+    hashed = found.select("_set", "_group", "_n", "_text").mapInArrow(run, "_set long, _group long, _n int, _hashes binary")
+    return hashed.dropDuplicates(["_set"])  # of rows that are repeated
+
+
+def complete(df: DataFrame, prints: DataFrame, roots: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """roots (id, root of all nodes) with groups joined that hold a pair of the rule's tenths of similarity."""
+    row = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h")).alias("_row")
+    sets = prints.where("_n > 0").groupBy("_set").agg(row, F.min("_node").alias("id"), F.min("_n").alias("_n"), F.first("_prefix").alias("_prefix"))
+    sets = cut(sets.join(roots, "id").select("_set", F.col("root").alias("_group"), "_n", "_prefix", "_row._id", "_row._h"), "sets")
+    joined = components(similar.pairs(sets, lambda some: whole_sets(df, some, rule, id_col, text_col), rule.tenths))
+    discard(sets)
+    joined = joined.select(F.col("id").alias("root"), F.col("root").alias("_whole"))
+    return roots.join(joined, "root", "left").select("id", F.coalesce("_whole", "root").alias("root"))
+
+
 def simhash(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """doc_id, _h, fingerprint (16 hexadecimal digits), component_id, _class (a node that names the component) for each row."""
-    prints = cut(fingerprints(df, id_col=id_col, text_col=text_col, rule=rule), "fingerprints")
+    rows = prints = cut(fingerprints(df, id_col=id_col, text_col=text_col, rule=rule), "fingerprints")
     firsts = cut(prints.groupBy("_node", *[c for c in rule.columns if rule.check_words]).agg(F.min("_id").alias("_first")), "distinct")
     roots = components(links(firsts if rule.check_words else firsts.withColumnRenamed("_node", "_fp"), rule))
+    if rule.tenths:
+        prints = cut(rows.drop("_set", "_n", "_prefix"), "prints")
+        own = cut(firsts.join(roots, F.col("_node") == F.col("id"), "left").select(F.col("_node").alias("id"), F.coalesce("root", "_node").alias("root")), "roots")
+        roots = complete(df, rows, own, rule, id_col, text_col)
+        discard(rows)
     linked = firsts.join(roots, F.col("_node") == F.col("id")).select("_node", "_first", "root")
     least = linked.groupBy("root").agg(F.min("_first").alias("_least"))
     # written, so that a fingerprint that many rows share is split by the join below

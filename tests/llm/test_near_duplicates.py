@@ -4,8 +4,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from seqflow.llm import decontamination, fingerprints, simhash
+from seqflow.llm import decontamination, fingerprints, similar, simhash
 from seqflow.llm.components import components
 
 
@@ -164,6 +165,78 @@ def test_many_near_copies_are_dealt_out(spark, monkeypatch):
     assert {r.doc_id for r in simhash.deduplicate(df).collect()} == {0, 500}
 
 
+def similar_groups(docs):
+    """docs: id, text. Groups of ids that are joined by chains of pairs of similarity 0.8 or more."""
+    own = [(d, shingles_of(t)) for d, t in docs]
+    parent = list(range(len(own)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, a) in enumerate(own):
+        for j, (_, b) in enumerate(own[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(own):
+        groups.setdefault(find(i), set()).add(d)
+    return list(groups.values())
+
+
+def edited(rng, base, tenths):
+    """A text with so many other words at its end that the similarity is just the threshold or above it."""
+    n = len(base) - 4
+    k = max(k for k in range(n) if 10 * (n - k) >= tenths * (n + k))
+    return [*base[: len(base) - k], *(f"w{rng.integers(1 << 40)}" for _ in range(k))]
+
+
+@pytest.mark.parametrize("bucket", [1 << 20, 50])
+def test_no_pair_of_the_threshold_is_missed(spark, monkeypatch, bucket):
+    """Pairs at 0.8, whose prints often differ in more bits than the grids find, beside texts that share much and are below it."""
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(300)]
+    docs = []
+    for i in range(150):
+        base = [f"b{rng.integers(1 << 40)}" for _ in range(int(rng.integers(30, 120)))]
+        docs += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(edited(rng, base, 8)))]
+        if i % 3 == 0:
+            half = common[: int(1.2 * len(base))]
+            docs.append((10 * i + 2, " ".join([*half, *base])))
+    docs += [(9000, "three words only"), (9001, "three words only"), (9002, None), (9003, " ")]
+    sets = {d: shingles_of(t) for d, t in docs}
+    assert all(0.8 <= len(sets[10 * i] & sets[10 * i + 1]) / len(sets[10 * i] | sets[10 * i + 1]) < 0.87 for i in range(150))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    classes = {r.doc_id: r._class for r in simhash.simhash(df, rule=simhash.SIMILAR).collect()}
+    assert all(len({classes[d] for d in group}) == 1 for group in similar_groups(docs))
+    left = {r.doc_id for r in simhash.deduplicate(df).collect()}
+    assert not any(10 * i + 1 in left for i in range(150)) and 9001 not in left
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    """Sets of small numbers in groups, against all pairs: hashes that many share, sizes on both sides of the threshold."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(40):
+        base = np.unique(rng.integers(0, 400, int(rng.integers(1, 60))))
+        sets += [np.unique(np.concatenate((rng.permutation(base)[int(rng.integers(0, 1 + len(base) // 5)) :], rng.integers(0, 400, int(rng.integers(0, 1 + len(base) // 6)))))) for _ in range(4)]
+    sets = [s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in sets if len(s)]
+    sets = [np.sort(s) for s in sets]
+    groups = [int(rng.integers(0, 100)) for _ in sets]
+    want = set()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if groups[i] != groups[j] and 5 * both >= 4 * (len(a) + len(b) - both):
+                want.add(tuple(sorted((groups[i], groups[j]))))
+    rows = [(k, g, len(s), bytearray(similar.prefix(s, 8).tobytes()), bytearray(s.tobytes())) for k, (g, s) in enumerate(zip(groups, sets, strict=True))]
+    df = spark.createDataFrame(rows, "_set long, _group long, _n int, _prefix binary, _all binary")
+    got = similar.pairs(df, lambda some: some.withColumn("_hashes", F.col("_all")), 8).collect()
+    assert want and {tuple(sorted((r.a, r.b))) for r in got} == want
+
+
 def words(t):
     return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
 
